@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from spantab.functions.scalars import split_hash
 from spantab.operators.cleaning import bounds_columns, concat_rows
+from spantab.staging import stage
 
-_BUCKET_DIGITS = 4
+RANK_LIMIT = 100_000
+_DIGIT_STEPS = (3, 6, 8)
 
 
 def dedup_first(df: DataFrame, subset: Sequence[str], order_key: str | Sequence[str]) -> DataFrame:
@@ -56,69 +58,71 @@ class Cut:
         return (h < self.threshold) | ((h == self.threshold) & (column <= F.lit(self.last_key)))
 
 
+def _distinct_keys(df: DataFrame, key: str) -> DataFrame:
+    """The distinct non-null keys, computed once and read by every later pass."""
+    return stage(df.select(key).where(F.col(key).isNotNull()).distinct(), "keys")
+
+
 def fit_cuts(
     df: DataFrame, key: str, seeds: Sequence[int], frac: float, assume_unique: bool = False
 ) -> list[Cut]:
     """One cut of exactly ``ceil(n * frac)`` keys for each seed.
 
-    Radix selection in three narrow jobs for all seeds together: counts by
-    the upper hash digits, counts by full hash inside the boundary bucket, then
-    the rank of the keys that share the boundary hash (n / 2^32 of them).
-    Each window below runs over at most 65,536 counts per seed, or over those
-    few keys. ``assume_unique`` skips the shuffle that makes keys distinct.
+    Radix selection for all seeds together: count keys by leading hash digits
+    (4,096 buckets per seed), step into the bucket that holds the cut, and
+    repeat until that bucket has at most ``RANK_LIMIT`` keys, or the digits
+    are used up; only those keys are ranked. Two narrow jobs up to some 10^8
+    keys, one more for every factor of 4,096. ``assume_unique`` skips the
+    shuffle that makes keys distinct.
     """
-    keys = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
-    if not assume_unique:
-        keys = keys.distinct()
+    keys = df.select(key).where(F.col(key).isNotNull()) if assume_unique else _distinct_keys(df, key)
     hashed = F.array(
-        *(F.struct(F.lit(i).alias("fold"), split_hash("k", s).alias("h")) for i, s in enumerate(seeds))
+        *(F.struct(F.lit(i).alias("fold"), split_hash(key, s).alias("h")) for i, s in enumerate(seeds))
     )
-    exploded = keys.select("k", F.explode(hashed).alias("e")).select("k", "e.fold", "e.h")
-    bucket = F.substring("h", 1, _BUCKET_DIGITS)
-
+    exploded = keys.select(F.col(key).alias("k"), F.explode(hashed).alias("e")).select("k", "e.fold", "e.h")
     by_fold = Window.partitionBy("fold")
     running = by_fold.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = exploded.groupBy("fold", bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    edges = (
-        counts.withColumn("upto", F.sum("c").over(running))
-        .withColumn("total", F.sum("c").over(by_fold))
-        .withColumn("size", F.ceil(F.col("total").cast("double") * F.lit(float(frac))))
-        .filter((F.col("upto") >= F.col("size")) & (F.col("upto") - F.col("c") < F.col("size")))
-        .select("fold", "b", "total", "size", (F.col("size") - F.col("upto") + F.col("c")).alias("need"))
-        .collect()
-    )  # one row per seed
-    if not edges:
-        return [Cut(i, s, 0, 0, None, None) for i, s in enumerate(seeds)]
-
-    def at(rows, column: Column, value: str) -> Column:
+
+    def inside(prefixes: dict[int, str]) -> Column:
         chosen = F.lit(False)
-        for r in rows:
-            chosen = chosen | ((F.col("fold") == r["fold"]) & (column == r[value]))
+        for fold, prefix in prefixes.items():
+            chosen = chosen | ((F.col("fold") == fold) & F.col("h").startswith(prefix))
         return chosen
 
-    need = F.element_at(
-        F.create_map(*(F.lit(x) for r in edges for x in (r["fold"], r["need"]))), F.col("fold")
-    )
-    running_h = by_fold.orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    exact = (
-        exploded.filter(at(edges, bucket, "b"))
-        .groupBy("fold", "h").agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("upto", F.sum("c").over(running_h))
-        .filter((F.col("upto") >= need) & (F.col("upto") - F.col("c") < need))
-        .select("fold", "h", "c", (need - F.col("upto") + F.col("c")).alias("rest"))
-        .collect()
-    )  # one row per seed
-    rest = {r["fold"]: r["rest"] for r in exact}
-    ranked = exploded.filter(at(exact, F.col("h"), "h")).withColumn(
-        "r", F.row_number().over(by_fold.orderBy("k"))
-    )
-    wanted = F.element_at(F.create_map(*(F.lit(x) for f, n in rest.items() for x in (f, n))), F.col("fold"))
-    last = {r["fold"]: r["k"] for r in ranked.filter(F.col("r") == wanted).select("fold", "k").collect()}
-    at_fold = {r["fold"]: r for r in edges}
-    hash_at = {r["fold"]: r["h"] for r in exact}
+    def by_fold_literal(values: dict[int, int]) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("fold"))
+
+    totals: dict[int, int] = {}
+    sizes: dict[int, int] = {}
+    need: dict[int, int] = {}
+    prefixes: dict[int, str] = {}
+    for digits in _DIGIT_STEPS:
+        rows = exploded.filter(inside(prefixes)) if prefixes else exploded
+        wanted = (
+            by_fold_literal(need) if prefixes else F.ceil(F.sum("c").over(by_fold).cast("double") * F.lit(float(frac)))
+        )
+        edges = (
+            rows.groupBy("fold", F.substring("h", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+            .select(
+                "fold", "b", "c", F.sum("c").over(running).alias("upto"),
+                F.sum("c").over(by_fold).alias("total"), wanted.alias("size"),
+            )
+            .filter((F.col("upto") >= F.col("size")) & (F.col("upto") - F.col("c") < F.col("size")))
+            .collect()
+        )  # one row per seed
+        if not prefixes:
+            totals = {r["fold"]: r["total"] for r in edges}
+            sizes = {r["fold"]: r["size"] for r in edges}
+        prefixes = {r["fold"]: r["b"] for r in edges}
+        need = {r["fold"]: r["size"] - r["upto"] + r["c"] for r in edges}
+        if not edges or max(r["c"] for r in edges) <= RANK_LIMIT:
+            break
+    last: dict[int, Any] = {}
+    if prefixes:
+        ranked = exploded.filter(inside(prefixes)).withColumn("r", F.row_number().over(by_fold.orderBy("h", "k")))
+        last = {r["fold"]: r for r in ranked.filter(F.col("r") == by_fold_literal(need)).collect()}
     return [
-        Cut(i, s, at_fold[i]["size"], at_fold[i]["total"], hash_at[i], last[i]) if i in hash_at
-        else Cut(i, s, 0, at_fold[i]["total"] if i in at_fold else 0, None, None)
+        Cut(i, s, sizes[i], totals[i], last[i]["h"], last[i]["k"]) if i in last else Cut(i, s, 0, 0, None, None)
         for i, s in enumerate(seeds)
     ]
 
@@ -165,9 +169,10 @@ def fit_splits(
     Fold ``i`` uses seed ``seed + i``: validation sets of different folds
     overlap, this is repeated random sub-sampling rather than k-fold.
     """
-    (test,) = fit_cuts(df, key, [seed], test_frac, assume_unique)
-    rest = df.filter(~test.inside(key))
-    folds = fit_cuts(rest, key, [seed + i for i in range(n)], frac, assume_unique)
+    keys = df.select(key) if assume_unique else _distinct_keys(df, key)
+    (test,) = fit_cuts(keys, key, [seed], test_frac, assume_unique=True)
+    rest = keys.filter(~test.inside(key))
+    folds = fit_cuts(rest, key, [seed + i for i in range(n)], frac, assume_unique=True)
     return SplitPlan(key, test, tuple(folds))
 
 
@@ -175,8 +180,9 @@ def repeated_splits(
     df: DataFrame, key: str, n: int = 5, frac: float = 1 / 9, seed: int = 42, test_frac: float = 0.1,
     assume_unique: bool = False,
 ) -> DataFrame:
-    """Membership table (key, fold, role) of :func:`fit_splits`."""
-    return fit_splits(df, key, n, frac, seed, test_frac, assume_unique).membership(df)
+    """Membership table (key, fold, role) of :func:`fit_splits`, one row per distinct key and fold."""
+    keys = df.select(key) if assume_unique else _distinct_keys(df, key)
+    return fit_splits(keys, key, n, frac, seed, test_frac, assume_unique=True).membership(keys)
 
 
 def shift_split(

@@ -49,13 +49,12 @@ def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c2_holdout", _TYPED + "," + SPLITS_SQL + "SELECT id, is_test FROM h")
 def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.holdout(typed(spark, sf_dir).select("id").distinct(), "id", assume_unique=True)
+    return S.holdout(typed(spark, sf_dir).select("id"), "id").distinct()
 
 
 @query("c3_repeated_splits", _TYPED + "," + SPLITS_SQL + "SELECT id, fold::bigint AS fold, role FROM m")
 def c3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = typed(spark, sf_dir).select("id").distinct()
-    return settle(S.repeated_splits(ids, "id", assume_unique=True))
+    return settle(S.repeated_splits(typed(spark, sf_dir), "id"))
 
 
 @query(
