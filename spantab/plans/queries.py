@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from spantab.plans import (  # noqa: F401
+    candidate_queries,
     cleaning_queries,
     feature_queries,
     metric_queries,
+    runlog_queries,
     split_queries,
 )
 from spantab.plans.registry import ORACLES, QUERIES
