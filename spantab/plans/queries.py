@@ -7,6 +7,7 @@ from spantab.plans import (  # noqa: F401
     cleaning_queries,
     feature_queries,
     metric_queries,
+    model_queries,
     runlog_queries,
     split_queries,
 )
