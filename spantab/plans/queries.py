@@ -9,6 +9,7 @@ from spantab.plans import (  # noqa: F401
     metric_queries,
     model_queries,
     runlog_queries,
+    source_queries,
     split_queries,
 )
 from spantab.plans.registry import ORACLES, QUERIES
