@@ -154,10 +154,26 @@ class SplitPlan:
     def with_role(self, df: DataFrame, fold: int) -> DataFrame:
         return df.withColumn("role", self.role(fold))
 
+    def placements(self, shared_fold: int | None = None) -> Column:
+        """Array of (fold, role) of a row: its role in every fold.
+
+        With ``shared_fold`` a test row is placed once, under that number.
+        """
+        folds = range(len(self.folds))
+        tests = folds if shared_fold is None else [shared_fold]
+        valid = [F.when(self.folds[i].inside(self.key), "valid").otherwise("train") for i in folds]
+        return F.when(
+            self.test.inside(self.key), F.array(*(_placement(i, F.lit("test")) for i in tests))
+        ).otherwise(F.array(*(_placement(i, valid[i]) for i in folds)))
+
     def membership(self, df: DataFrame) -> DataFrame:
         """(key, fold, role) for every fold; test rows appear under each fold."""
-        roles = F.array(*(F.struct(F.lit(i).alias("fold"), self.role(i).alias("role")) for i in range(len(self.folds))))
-        return df.select(self.key, F.explode(roles).alias("m")).select(self.key, "m.fold", "m.role")
+        placed = df.select(self.key, F.explode(self.placements()).alias("m"))
+        return placed.select(self.key, "m.fold", "m.role")
+
+
+def _placement(fold: int, role: Column) -> Column:
+    return F.struct(F.lit(fold).alias("fold"), role.alias("role"))
 
 
 def fit_splits(

@@ -17,7 +17,7 @@ from spantab.plans.metric_queries import _P, _metrics_sql
 from spantab.plans.split_queries import FRAC, hash_sql
 from spantab.sources import chunks as A
 from spantab.sources import tables as W
-from spantab.staging import staging_path
+from spantab.staging import stage, staging_path
 
 SIZE = 1000
 ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -113,7 +113,7 @@ def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written_splits(spark: SparkSession, sf_dir: str) -> str:
-    rows = typed(spark, sf_dir).select("id", "level", "lower", "upper")
+    rows = stage(typed(spark, sf_dir).select("id", "level", "lower", "upper"), "typed")
     exact_rows, bounded = rows.filter("lower = upper"), rows.filter("lower <> upper")
     path = staging_path(spark, "splits")
     W.write_splits(exact_rows, bounded, S.fit_splits(exact_rows, "id"), path)

@@ -22,12 +22,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def write_splits(exact: DataFrame, bounded: DataFrame, plan: SplitPlan, path: str, fmt: str = "parquet") -> None:
     """Train and valid rows per fold, test and bounded rows once; one layout by (fold, role), no shuffle."""
-    entries = [F.struct(F.lit(SHARED_FOLD).alias("fold"), F.when(plan.test.inside(plan.key), "test").alias("role"))]
-    entries += [
-        F.struct(F.lit(i).alias("fold"), F.when(plan.role(i) != "test", plan.role(i)).alias("role"))
-        for i in range(len(plan.folds))
-    ]
-    placed = exact.withColumn("_p", F.explode(F.filter(F.array(*entries), lambda e: e["role"].isNotNull())))
+    placed = exact.withColumn("_p", F.explode(plan.placements(SHARED_FOLD)))
     rows = placed.select(*exact.columns, "_p.fold", "_p.role").unionByName(
         bounded.withColumns({"fold": F.lit(SHARED_FOLD), "role": F.lit("bounded")}), allowMissingColumns=True
     )
