@@ -58,16 +58,22 @@ def parse_list(
     for _ in range(depth):
         schema = f"array<{schema}>"
     c = _as_column(col)
-    text = F.regexp_replace(F.translate(c, "()", "[]"), r",\s*\]", "]")
     # The whole text must be a list: the parsers alone would take a broken tail
     # as a partial result. Possessive quantifiers keep the matcher iterative on
     # lists of any length.
-    item = r"\s*+-?\d++\s*+" if element in ("int", "bigint") else r"\s*+-?\d++(?:\.\d*+)?+(?:[eE][+-]?\d++)?+\s*+"
+    item = r"-?\d++" if element in ("int", "bigint") else r"-?\d++(?:\.\d*+)?+(?:[eE][+-]?\d++)?+"
     for _ in range(depth):
-        item = rf"\s*+\[\s*+(?:{item}(?:,{item})*+)?+\]\s*+"
-    # No match extracts the empty string, which is null as JSON. The chain reads
-    # its input once, so an expensive input is not repeated in the plan.
-    parsed = F.from_json(F.regexp_extract(text, rf"^{item}\z", 0), schema)
+        inner = rf"\s*+(?:{item}\s*+(?:,\s*+{item}\s*+)*+(?:,\s*+)?+)?+"
+        item = rf"(?:\[{inner}\]|\({inner}\))"
+    whole = rf"^\s*+{item}\s*+\z"
+    if depth == 1:
+        # Flat lists stay inside generated code.
+        cells = F.array_remove(F.split(F.translate(c, "[]() \t\r\n\f", ""), ","), "")
+        parsed = F.when(c.rlike(whole), cells.try_cast(schema))
+    else:
+        # No match extracts the empty string, which is null as JSON.
+        text = F.regexp_replace(F.translate(F.regexp_extract(c, whole, 0), "()", "[]"), r",\s*\]", "]")
+        parsed = F.from_json(text, schema)
     if on_error == "empty":
         return F.coalesce(parsed, F.from_json(F.lit("[]"), schema))
     if on_error == "null":

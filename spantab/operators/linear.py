@@ -15,6 +15,7 @@ from spantab.functions.formula import formula_column
 from spantab.functions.scalars import clean_double
 from spantab.operators.cleaning import _quoted
 from spantab.operators.features import exponents, monomial_names, monomials
+from spantab.staging import held
 
 SQL_SUM_COLUMNS = 20  # up to here sums of products stay in one code-generated aggregate
 SQL_PREDICT_COLUMNS = 50  # up to here a prediction is a plain expression
@@ -183,8 +184,10 @@ def solve(moments: Moments, x: Sequence[int], y: int) -> tuple[np.ndarray, float
 
 def ols_fit(df: DataFrame, features: Sequence[str], target: str) -> LinearModel:
     """Least squares with intercept; a non-finite feature value gives the mean-only model."""
-    moments = column_moments(df, [*map(_quoted, features), _quoted(target)])
     p = len(features)
+    named = [_quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate([*features, target])]
+    with held(df, named) as data:
+        moments = column_moments(data, [F.col(f"c{i}") for i in range(p + 1)])
     if not np.isfinite(moments.cov[:p, :p]).all():
         mean = float(df.agg(F.avg(_quoted(target).cast("double"))).first()[0] or 0.0)
         return LinearModel(tuple(features), np.zeros(p), mean)

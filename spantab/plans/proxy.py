@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spantab.operators.cleaning import coerce_numeric, derive_rank, expand_list, parse_lists, split_exact_bounded
+from spantab.staging import spread
 
 NUMERICAL = (
     "level", "genus", "rank", "cusps", "rational_cusps", "log_conductor", "coarse_class_num", "coarse_level",
@@ -69,7 +70,7 @@ FROM ({TYPED_SQL}) t"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local_root: str | None = None
@@ -42,3 +45,27 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = staging_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def held(df: DataFrame, columns: Sequence[Column]) -> Iterator[DataFrame]:
+    """The given columns, kept (in memory, else on disk) while several passes read them.
+
+    A lost executor's part is computed again from its lineage.
+    """
+    kept = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A bare scan of fewer partitions than the cluster has slots, repartitioned over them.
+
+    Small or unsplittable files would otherwise leave most slots idle through
+    all row-local work. A scan with enough partitions is returned as it is, so
+    large tables are never shuffled by this.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
