@@ -26,6 +26,7 @@ from spantab.operators.cleaning import (
 _log = logging.getLogger(__name__)
 
 CHUNK_FOLDER = "chunk={i}"
+NULL_TEXT = "None"  # fixed value: how the chunk files spell a missing cell
 
 
 def chunk_number(key: Column | str, size: int) -> Column:
@@ -42,11 +43,15 @@ def id_range_chunk(df: DataFrame, key: str, size: int, file_pattern: str | None
 
 
 def write_delimited(
-    df: DataFrame, path: str, sep: str = ";", header: bool = False, partition_by: Sequence[str] = ()
+    df: DataFrame, path: str, sep: str = ";", header: bool = False, partition_by: Sequence[str] = (),
+    null: str = NULL_TEXT,
 ) -> None:
-    """Delimited text with quoting where a cell needs it; blanks at cell ends are kept."""
+    """Delimited text with quoting where a cell needs it; blanks at cell ends are kept.
+
+    Nulls are written as ``null``, which keeps them apart from empty text.
+    """
     writer = df.write.mode("overwrite").options(
-        sep=sep, header=header, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        sep=sep, header=header, escape='"', nullValue=null, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
@@ -93,26 +98,28 @@ def chunk_paths(spark: SparkSession, folder: str, start: int, end: int, pattern:
     return [path for _, path in sorted(hits)]
 
 
-def _reader(spark: SparkSession, schema: T.StructType, sep: str, header: bool, multiline: bool, trim: bool = False):
+def _reader(spark: SparkSession, schema: T.StructType, sep: str, header: bool, multiline: bool, trim: bool = False,
+            null: str = ""):
     return spark.read.schema(schema).options(
-        sep=sep, header=header, escape='"', multiLine=multiline, mode="PERMISSIVE",
+        sep=sep, header=header, escape='"', multiLine=multiline, mode="PERMISSIVE", nullValue=null,
         ignoreLeadingWhiteSpace=trim, ignoreTrailingWhiteSpace=False, recursiveFileLookup=True,
     )
 
 
 def read_headerless(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, sep: str = ";", multiline: bool = False
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, sep: str = ";", multiline: bool = False,
+    null: str = NULL_TEXT,
 ) -> DataFrame:
     """Header-less text under an explicit schema; missing paths are skipped with a message."""
     found = existing_paths(spark, as_names(paths))
     if not found:
         return spark.createDataFrame([], schema)
-    return _reader(spark, schema, sep, False, multiline).csv(found)
+    return _reader(spark, schema, sep, False, multiline, null=null).csv(found)
 
 
 def read_chunks(
     spark: SparkSession, folder: str, start: int, end: int, schema: T.StructType, pattern: str = CHUNK_FOLDER,
-    sep: str = ";", header: bool = False, multiline: bool = False,
+    sep: str = ";", header: bool = False, multiline: bool = False, null: str = NULL_TEXT,
 ) -> DataFrame:
     """Chunks of [start, end) with their number; only the chosen chunks' files are opened."""
     paths = chunk_paths(spark, folder, start, end, pattern)
@@ -120,7 +127,7 @@ def read_chunks(
     if not paths:
         return spark.createDataFrame([], tagged)
     before, after = (re.escape(part) for part in pattern.split("{i}"))
-    rows = _reader(spark, schema, sep, header, multiline).csv(paths)
+    rows = _reader(spark, schema, sep, header, multiline, null=null).csv(paths)
     number = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), f"/{before}(\\d+){after}(/|$)", 1)
     return rows.select(*(F.col(f"`{f.name}`") for f in schema), number.cast("bigint").alias("chunk"))
 

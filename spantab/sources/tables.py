@@ -27,7 +27,7 @@ def write_splits(exact: DataFrame, bounded: DataFrame, plan: SplitPlan, path: st
         bounded.withColumns({"fold": F.lit(SHARED_FOLD), "role": F.lit("bounded")}), allowMissingColumns=True
     )
     if fmt == "csv":
-        write_delimited(rows, path, header=True, partition_by=["fold", "role"])
+        write_delimited(rows, path, header=True, partition_by=["fold", "role"], null="")
     else:
         rows.write.mode("overwrite").partitionBy("fold", "role").parquet(path)
 
