@@ -11,7 +11,7 @@ from spantab.operators import boosting as B
 from spantab.operators import linear as L
 from spantab.operators import mlp as N
 from spantab.operators.candidates import parse_candidates
-from spantab.operators.cleaning import expand_list, split_exact_bounded
+from spantab.operators.cleaning import expand_list, is_exact, split_exact_bounded
 from spantab.operators.features import apply_scaler, fit_scaler
 from spantab.operators.metrics import metrics
 from spantab.operators.splits import fit_splits
@@ -300,7 +300,7 @@ _NET_FEATURES = ("genus", "level", "cusps", "rank")
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed(spark, sf_dir).select(*_NET_FEATURES, "lower", "upper")
+    rows = typed(spark, sf_dir).select(*_NET_FEATURES, "lower", "upper", "q_gonality_bounds")
     return apply_scaler(rows, fit_scaler(rows, _NET_FEATURES))
 
 
@@ -310,13 +310,13 @@ def _loss_table(spark: SparkSession, losses: tuple[float, ...]) -> DataFrame:
 
 @query("e16_mlp_fit")
 def e16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scaled(spark, sf_dir).filter("lower = upper")
+    rows = _scaled(spark, sf_dir).filter(is_exact())
     return _loss_table(spark, N.mlp_fit(rows, _NET_FEATURES, "lower", (16, 8), 5, rate=0.01).losses)
 
 
 @query("e17_interval_fit")
 def e17(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scaled(spark, sf_dir)
-    warm = N.mlp_fit(rows.filter("lower = upper"), _NET_FEATURES, "lower", (16, 8), 3, rate=0.01)
+    warm = N.mlp_fit(rows.filter(is_exact()), _NET_FEATURES, "lower", (16, 8), 3, rate=0.01)
     fit = N.interval_fit(rows, _NET_FEATURES, "lower", "upper", epochs=3, rate=0.01, start=warm.network)
     return _loss_table(spark, fit.losses)

@@ -9,7 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spantab.operators.cleaning import coerce_numeric, derive_rank, expand_list, parse_lists, split_exact_bounded
+from spantab.operators.cleaning import (
+    coerce_numeric,
+    derive_rank,
+    expand_list,
+    is_exact,
+    parse_lists,
+    split_exact_bounded,
+)
 from spantab.staging import spread
 
 NUMERICAL = (
@@ -40,7 +47,7 @@ _BASE = {
     " cast(l_orderkey % 7 AS string), ', 1]') END",
     "conductor": "CASE WHEN l_orderkey % 11 = 0 THEN '[]'"
     " ELSE concat('[[2, ', cast(l_orderkey % 4 AS string), '], [3, ', cast(l_partkey % 4 AS string), ']]') END",
-    "lo": "cast(1 + floor(l_linenumber / 2.0) + floor(l_quantity / 10.0) + l_partkey % 2 AS int)",
+    "lo": "cast(1 + floor(l_linenumber * cast(0.5 AS double)) + floor(l_quantity * cast(0.1 AS double)) + l_partkey % 2 AS int)",
     "w": "CASE WHEN l_suppkey % 4 = 0 THEN cast(l_partkey % 4 AS int) ELSE 0 END",
 }
 _BOUNDS = "concat('[', cast(lo AS string), ', ', cast(lo + w AS string), ']')"
@@ -70,12 +77,12 @@ FROM ({TYPED_SQL}) t"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text view: lists and some numbers are still text."""
-    base = table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {c}" for c, e in _BASE.items()))
+    base = spread(table(spark, sf_dir, "lineitem")).selectExpr(*(f"{e} AS {c}" for c, e in _BASE.items()))
     return base.selectExpr(*_PLAIN, f"{_BOUNDS} AS q_gonality_bounds")
 
 
@@ -112,7 +119,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(spark, sf_dir).select(
         "id", "level", "pointless", "lower", "upper", F.col("lower").alias("y"),
         fixed_prediction().alias("p"),
-        (F.col("lower") == F.col("upper")).alias("is_exact"),
+        is_exact().alias("is_exact"),
         (F.col("cusps") % 5).cast("int").alias("fold"),
         role.alias("role"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spantab.operators import splits as S
+from spantab.operators.cleaning import mark_exact
 from spantab.plans.proxy import CATEGORICAL, NUMERICAL, TYPED_SQL, typed
 from spantab.plans.registry import big, query, r6, settle
 from spantab.staging import stage
@@ -92,7 +93,7 @@ def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ") SELECT is_exact, sum(n)::bigint AS rows_before, count(*)::bigint AS rows_after FROM g GROUP BY is_exact",
 )
 def c5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed(spark, sf_dir).withColumn("is_exact", F.col("lower") == F.col("upper"))
+    rows = mark_exact(typed(spark, sf_dir))
     return settle(S.dedup_summary(rows, DEDUP_KEY, by=["is_exact"]))
 
 

@@ -38,7 +38,7 @@ def catalogue_row(name, kind, element=None):
     return row
 
 
-def test_schemas():
+def test_schemas(spark):
     schema = K.source_schema()
     assert len(schema.fields) == 75 and len(set(schema.names)) == 75
     assert schema["conductor"].dataType == T.ArrayType(T.ArrayType(T.IntegerType()))
