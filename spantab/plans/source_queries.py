@@ -121,14 +121,15 @@ def _written_splits(spark: SparkSession, sf_dir: str) -> str:
 
 
 _SPLIT_SETS_SQL = f"""WITH t AS ({TYPED_SQL}), x AS (SELECT id, level FROM t WHERE lower = upper),
-h AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('id', "'42'")}, id) <= ceil((SELECT count(*) FROM x)::double * 0.1)
-      AS is_test FROM x),
-rest AS (SELECT id, level FROM h WHERE NOT is_test),
-f AS (SELECT level, fold, row_number() OVER (PARTITION BY fold ORDER BY {hash_sql('id', "(42 + fold)::string")}, id)
+k AS (SELECT DISTINCT id FROM x),
+h AS (SELECT id, row_number() OVER (ORDER BY {hash_sql('id', "'42'")}, id) <= ceil((SELECT count(*) FROM k)::double * 0.1)
+      AS is_test FROM k),
+rest AS (SELECT id FROM h WHERE NOT is_test),
+f AS (SELECT id, fold, row_number() OVER (PARTITION BY fold ORDER BY {hash_sql('id', "(42 + fold)::string")}, id)
       <= ceil((SELECT count(*) FROM rest)::double * {FRAC!r}::double) AS is_valid
       FROM rest CROSS JOIN (SELECT unnest(range(5)) AS fold) s),
-w AS (SELECT fold, CASE WHEN is_valid THEN 'valid' ELSE 'train' END AS role, level FROM f
-      UNION ALL SELECT -1, 'test', level FROM h WHERE is_test
+w AS (SELECT fold, CASE WHEN is_valid THEN 'valid' ELSE 'train' END AS role, level FROM x JOIN f ON x.id = f.id
+      UNION ALL SELECT -1, 'test', level FROM x JOIN h ON x.id = h.id WHERE is_test
       UNION ALL SELECT -1, 'bounded', level FROM t WHERE lower <> upper) """
 
 

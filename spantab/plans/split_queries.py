@@ -97,25 +97,26 @@ def c5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(S.dedup_summary(rows, DEDUP_KEY, by=["is_exact"]))
 
 
-def _weak_role_sql(source: str) -> str:
-    n = f"(SELECT count(*) FROM t WHERE {source})::double"
-    return f"""SELECT *, row_number() OVER (ORDER BY {hash_sql('id', "'42'")}, id) <= ceil({n} * 0.1) AS is_test
-      FROM t WHERE {source}"""
-
-
 def _weak_sql() -> str:
+    """Roles of the distinct ids of each source, then its rows with their role."""
     parts = []
     for name, where in (("exact", "lower = upper"), ("bounded", "lower <> upper")):
-        parts.append(f"{name}_h AS ({_weak_role_sql(where)})")
+        order = f"ORDER BY {hash_sql('id', repr('42'))}, id"
+        parts.append(f"{name}_k AS (SELECT DISTINCT id FROM t WHERE {where})")
+        parts.append(
+            f"""{name}_h AS (SELECT id, row_number() OVER ({order})
+            <= ceil((SELECT count(*) FROM {name}_k)::double * 0.1) AS is_test FROM {name}_k)"""
+        )
         parts.append(
-            f"""{name}_v AS (SELECT id, row_number() OVER (ORDER BY {hash_sql('id', "'42'")}, id)
+            f"""{name}_v AS (SELECT id, row_number() OVER ({order})
             <= ceil((SELECT count(*) FROM {name}_h WHERE NOT is_test)::double * {FRAC!r}::double) AS is_valid
             FROM {name}_h WHERE NOT is_test)"""
         )
         parts.append(
             f"""{name}_r AS (SELECT '{name}' AS source, lower, upper, CASE WHEN is_test THEN 'test'
             WHEN is_valid THEN 'valid' ELSE 'train' END AS role
-            FROM {name}_h LEFT JOIN {name}_v ON {name}_h.id = {name}_v.id)"""
+            FROM (SELECT * FROM t WHERE {where}) s JOIN {name}_h ON s.id = {name}_h.id
+            LEFT JOIN {name}_v ON s.id = {name}_v.id)"""
         )
     return ", ".join(parts)
 
