@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 import re
 from collections.abc import Sequence
@@ -159,10 +160,21 @@ def _first_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
-    first = spark.read.options(sep=sep, header=False, escape='"').schema("line string").text(path).first()
+    """Names in the first line of a file, plain or compressed; no Spark job."""
+    hadoop, java = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jvm.java
+    fs, location = _file_system(spark, path)
+    stream = fs.open(location)
+    codec = hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(location)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    lines = java.io.BufferedReader(java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        first = lines.readLine()
+    finally:
+        lines.close()
     if first is None:
         raise ValueError("empty file")
-    return tuple(cell.strip().strip('"') for cell in first[0].split(sep))
+    return tuple(next(csv.reader([first.removeprefix("\ufeff")], delimiter=sep)))
 
 
 def combine_chunks(

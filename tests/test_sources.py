@@ -98,6 +98,17 @@ def test_combine_chunks(spark, tmp_path, caplog):
     assert typed.dtypes[:2] == [("id", "bigint"), ("level", "int")]
 
 
+def test_compressed_chunk_files(spark, tmp_path, caplog):
+    import gzip
+
+    (tmp_path / "a.csv.gz").write_bytes(gzip.compress(b"id;v\n1;2\n"))
+    (tmp_path / "b.csv").write_text("id;v\n3;4\n")
+    (tmp_path / "empty.csv").write_text("")
+    paths = [str(tmp_path / n) for n in ("a.csv.gz", "b.csv", "empty.csv")]
+    assert sorted(tuple(r) for r in A.combine_chunks(spark, paths, "id", "v").collect()) == [("1", "2"), ("3", "4")]
+    assert "empty.csv left out" in caplog.text
+
+
 def test_sample_is_distinct_and_repeatable(spark):
     df = A.id_range_chunk(spark.range(1000), "id", 100)
     once = {r["chunk"] for r in A.sample_chunks(df, 3, 0, 10).select("chunk").distinct().collect()}
