@@ -19,7 +19,9 @@ from spantab.staging import held
 
 SQL_SUM_COLUMNS = 20  # up to here sums of products stay in one code-generated aggregate
 SQL_PREDICT_COLUMNS = 50  # up to here a prediction is a plain expression
-DIRECT_TASKS = 64  # up to this many partial vectors are collected without a second level
+MIN_TASKS = 2048  # tasks are not merged below this number, however few slots are registered yet
+DIRECT_BYTES = 1 << 26  # partial vectors beyond this total size are added in a second level
+SECOND_LEVEL = 64  # vectors that then reach the driver
 RANK_TOLERANCE = 1e-11
 
 Kernel = Callable[[np.ndarray], np.ndarray]
@@ -32,13 +34,13 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 def partial_sums(df: DataFrame, inputs: Sequence[Column], kernel: Kernel, length: int) -> np.ndarray:
     """Sum over all rows of an additive kernel that maps a row block to ``length`` numbers.
 
-    Each task streams its rows and emits one vector. The number of tasks is
-    held to a multiple of the cluster's slots, without a shuffle, so the
-    number of vectors does not grow with the data; on a large cluster a second
-    level adds them up before the driver sees ``DIRECT_TASKS`` of them.
+    Each task streams its rows and emits one vector. Partitions are merged,
+    without a shuffle, to a multiple of the cluster's slots, so the number of
+    vectors does not grow with the data. When they could exceed
+    ``DIRECT_BYTES``, a second level adds them up and the driver gets
+    ``SECOND_LEVEL`` of them.
     """
-    context = df.sparkSession.sparkContext
-    tasks = 4 * context.defaultParallelism
+    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, MIN_TASKS)
 
     def emit(total: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
@@ -59,8 +61,8 @@ def partial_sums(df: DataFrame, inputs: Sequence[Column], kernel: Kernel, length
 
     named = df.select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(inputs)))
     vectors = named.coalesce(tasks).mapInArrow(over_rows, "v array<double>")
-    if tasks > DIRECT_TASKS:
-        vectors = vectors.repartition(DIRECT_TASKS).mapInArrow(over_vectors, "v array<double>")
+    if tasks * length * 8 > DIRECT_BYTES:
+        vectors = vectors.repartition(SECOND_LEVEL).mapInArrow(over_vectors, "v array<double>")
     return reduce(lambda a, r: a + np.asarray(r["v"]), vectors.collect(), np.zeros(length))
 
 
