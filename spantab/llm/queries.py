@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spantab.llm import mixing, sharding
+from spantab.llm import decontamination, licenses, mixing, pii, secrets, sharding, simhash, toxicity
+from spantab.llm.spans import of_kind, spelled
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,7 +69,51 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(_table(spark, sf_dir, "documents"))
 
 
-@_query("op4_sharding")
+@_query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
+@_query("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the terms that give it away."""
+    found = pii.find_spans(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[of_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.size("terms").cast("long").alias("n_term"),
+        F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
+        spelled(F.concat("base", "terms")).alias("spans"),
+    )
+
+
+@_query(
+    "op4_sharding",
+    f"""
+    WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+                          lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+    d AS (SELECT doc_id, source, {_sql_key(sharding.SEED)} AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+                 list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                                lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) AS place_in,
+                 count(*) OVER (PARTITION BY source) AS n FROM d),
+    p AS (SELECT *, row_number() OVER (ORDER BY (place_in - 0.5::DOUBLE) / n, source NULLS LAST, place_in) - 1 AS place,
+                 count(*) OVER () AS total FROM r)
+    SELECT doc_id, size::BIGINT AS size,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
+                           lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+           'rows' AS law, (place * {sharding.SHARDS} // total)::INTEGER AS shard,
+           (place - (place * {sharding.SHARDS} // total * total + {sharding.SHARDS - 1}) // {sharding.SHARDS})::BIGINT
+               AS slot,
+           NULL::INTEGER AS grown_shard
+    FROM p, t
+    """,
+)
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -79,3 +124,67 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_query("op5_secrets")
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, and linked parts of credentials."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[of_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        (F.size("spans") - F.size(base)).cast("long").alias("n_linked"),
+        F.sha2(spelled(base), 256).alias("base_sha256"),
+        spelled(F.col("spans")).alias("spans"),
+    )
+
+
+@_query(
+    "op8_decontamination",
+    r"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS row_id,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                   'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    g AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, list_slice(w, i, i + least(10, len(w)) - 1) AS gram
+          FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+    l AS (SELECT DISTINCT n FROM g),
+    p AS (SELECT row_id, i, n, list_slice(w, i, i + n - 1) AS gram
+          FROM d, l, unnest(range(1, greatest(0, len(w) - n + 1) + 1)) AS u(i)),
+    h AS (SELECT row_id, i, p.n, item_id FROM p JOIN g USING (n, gram)),
+    c AS (SELECT row_id, count(DISTINCT i + k) AS n_hit FROM h, unnest(range(n)) AS u(k) GROUP BY 1),
+    m AS (SELECT row_id, count(DISTINCT item_id) AS n_items,
+                 string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c USING (row_id) LEFT JOIN m USING (row_id)
+    """,
+)
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.scan_documents(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "row.doc_id", "n_words", decontamination.hit_words().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+@_query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op10_licenses")
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document is, or that its lines name."""
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.known_notices(spark))
+    return found.select(
+        F.col("id").alias("doc_id"), "text_digest", F.array_join("whole", ",").alias("license_text"),
+        F.array_join("notices", ",").alias("license_lines"), F.size("notices").cast("long").alias("n_notices"),
+    )
