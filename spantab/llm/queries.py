@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spantab.llm import decontamination, licenses, mixing, pii, secrets, sharding, simhash, toxicity
+from spantab.llm import (
+    decontamination,
+    html_text,
+    licenses,
+    mixing,
+    pii,
+    secrets,
+    sharding,
+    simhash,
+    toxicity,
+    vector_search,
+)
 from spantab.llm.spans import of_kind, spelled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +151,22 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op6_html_text")
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
+@_query("op7_vector_search")
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 @_query(
     "op8_decontamination",
     r"""
