@@ -21,11 +21,6 @@ def matches(text: Column, pattern: Column, kind: str, place: int, keep: Callable
     What stands between the matches comes from splitting at them; lengths of
     both add up to positions. Texts without a match are never split.
     """
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    lengths = F.zip_with(
-        F.split(text, pattern, -1), found,
-        lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m")),
-    )
     start = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
 
     def step(done: Column, piece: Column) -> Column:
@@ -40,8 +35,14 @@ def matches(text: Column, pattern: Column, kind: str, place: int, keep: Callable
             stop.alias("at"), F.when(kept, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans")
         )
 
-    placed = F.aggregate(lengths, start, step)["spans"]
-    return F.when(F.size(found) > 0, placed).otherwise(no_spans())
+    def placed(found: Column) -> Column:
+        pieces = F.zip_with(
+            F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m"))
+        )
+        return F.when(F.size(found) > 0, F.aggregate(pieces, start, step)["spans"]).otherwise(no_spans())
+
+    # the matches as a bound variable, so that they are looked for once
+    return F.transform(F.array(F.regexp_extract_all(text, pattern, F.lit(0))), placed)[0]
 
 
 def spelled(spans: Column) -> Column:

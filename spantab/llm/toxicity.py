@@ -1,21 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share a base of common words; one goes on with
-words that mark toxic training texts, the other with words that mark ordinary
-ones. Every window of a text is compressed with both. A window that is shorter
-under the toxic dictionary holds something toxic; the differences over all
-windows of a text, through a logistic calibration with a fitted threshold,
-give a score from 0 to 1 that is 0.5 at the threshold.
-
-Only texts and, for training rows, their toxic labels are used. Word statistics
-cover every training row; the calibration uses at most ``CALIBRATION_ROWS`` of
-them, chosen by a hash of the text.
+Two zstandard dictionaries share a base of common words. One goes on with
+markers of toxic training texts, the other with markers of ordinary ones:
+words and word beginnings that are far more frequent in one class. Every
+window of a text is compressed with both. A window that is shorter under the
+toxic dictionary holds something toxic; the bytes saved over all windows of a
+text, through a logistic calibration with a fitted threshold, give a score
+from 0 to 1 that is 0.5 at the threshold.
+
+Only texts and, for training rows, their toxic labels are used. Both the word
+statistics and the calibration come from at most ``FIT_ROWS`` labelled rows,
+chosen by a hash; every text is scored whole.
 
 Rules for odd input: null and empty texts have no window and are scored as
 such; rows without an id are never training rows; of several labels of one id
-any toxic one counts; without both classes in training the score is the share
-of toxic rows (0 if there is no training row); repeated rows get equal scores;
-other columns pass through.
+any toxic one counts; without both classes in training every score is 0 (1 if
+only toxic rows are known); repeated rows get equal scores; other columns pass
+through (``score`` and ``predicted`` replace ones of these names).
 """
 
 from __future__ import annotations
@@ -33,29 +34,38 @@ from pyspark.sql.functions import arrow_udf
 
 from spantab.llm.ordering import packed, quoted, unpacked
 from spantab.llm.words import LETTERS, segments
-
-WINDOW_WORDS = 16
-#: Words common to both dictionaries, and most words of a class's own.
-BASE_WORDS = 6000
-MARKER_WORDS = 300
-#: A marker is this many times as frequent in its class, by so many standard deviations, in so many texts.
+from spantab.staging import stage
+
+WINDOW_WORDS = 4
+#: Most labelled rows that the model is fitted on.
+FIT_ROWS = 40_000
+#: Words common to both dictionaries, and most markers of a class.
+BASE_WORDS = 2000
+MARKERS = 300
+#: Lengths of word beginnings that may be markers, beside whole words of the least length or more.
+STEMS = (4, 5, 6)
+#: A marker is this many times as frequent in its class, by so many standard deviations, in so many texts
+#: and such a share of the class.
 MARKER_LIFT = 3.0
 MARKER_DEVIATIONS = 6.0
 MARKER_TEXTS = 3
-#: Most training rows whose scores are brought to the driver for calibration, 17 numbers each.
-CALIBRATION_ROWS = 40_000
+MARKER_SHARE = 0.01
+#: Training texts with the same smallest hash of so many consecutive words count as copies, of which one is learned from.
+COPY_WORDS = 4
+#: The weight of recall against precision where the threshold is fitted.
+RECALL_WEIGHT = 1.0
 LEVELS = (2, 3, 4, 5, 6)
 #: Opens every window and both dictionaries: with one sure match each window is compressed, never stored.
 OPENING = b"#0123456789" * 8 + b"@"
 
 
-def _compressor(words: Sequence[str]) -> zstandard.ZstdCompressor:
-    """A compressor whose dictionary holds the words, the first ones nearest to the text."""
-    content = OPENING + b" " + " ".join(reversed(words)).encode() + b" "
+def _compressor(common: Sequence[str], markers: Sequence[str]) -> zstandard.ZstdCompressor:
+    """A compressor whose dictionary ends with the markers, the first ones nearest to the text."""
+    content = OPENING + " ".join(["", *reversed(common), *reversed(markers), ""]).encode()
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters(
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
-        window_log=17, hash_log=16, chain_log=16, search_log=5, min_match=4, target_length=32,
+        window_log=17, hash_log=16, chain_log=16, search_log=5, min_match=5, target_length=32,
         strategy=zstandard.STRATEGY_GREEDY,
     )
     dictionary.precompute_compress(compression_params=params)
@@ -96,7 +106,7 @@ def _feature_column(common: Sequence[str], ordinary: Sequence[str], toxic: Seque
     """A column function from text to its features."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        plain, marked = _compressor([*ordinary, *common]), _compressor([*toxic, *common])
+        plain, marked = _compressor(common, ordinary), _compressor(common, toxic)
         for texts in batches:
             rows = []
             for text in texts:
@@ -107,39 +117,66 @@ def _feature_column(common: Sequence[str], ordinary: Sequence[str], toxic: Seque
     return arrow_udf(run, "array<double>")
 
 
+def _copy_key(text: Column) -> Column:
+    """The smallest hash of a text's word runs: copies mostly share it, other texts hardly ever."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+
+    def least(ws: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - COPY_WORDS + 1, F.lit(1)))
+        return F.array_min(F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, COPY_WORDS))))
+
+    # the words as a bound variable: an expression would be evaluated again for every run
+    return F.transform(F.array(words), least)[0]
+
+
+def _units(text: Column) -> Column:
+    """Distinct words (with a space at the end) and word beginnings of a text."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{" + str(STEMS[0]) + r",}"), F.lit(0))
+    spelled = F.transform(
+        F.array_distinct(words),
+        lambda w: F.array(F.concat(w, F.lit(" ")), *[F.when(F.char_length(w) > k, F.substring(w, 1, k)) for k in STEMS]),
+    )
+    return F.array_distinct(F.array_compact(F.flatten(spelled)))
+
+
 def _markers(counts: DataFrame, own: str, other: str, n_own: int, n_other: int) -> list[str]:
-    """Words far more frequent in texts of one class than in the other's, the strongest first."""
+    """Units far more frequent in texts of one class, the strongest first; none begins like a stronger one."""
     share = (F.col(own) + F.col(other)) / (n_own + n_other)
     deviation = F.sqrt(share * (1 - share) * n_own * n_other / (n_own + n_other))
     score = F.try_divide(F.col(own) - share * n_own, deviation)
     lift = F.col(own) / n_own >= MARKER_LIFT * F.col(other) / n_other
-    strong = counts.filter(lift & (F.col(own) >= MARKER_TEXTS) & (F.char_length("word") >= 4))
-    strong = strong.withColumn("score", score).filter(F.col("score") >= MARKER_DEVIATIONS)
-    return [r.word for r in strong.orderBy(F.desc("score"), "word").limit(MARKER_WORDS).collect()]
+    often = F.col(own) >= max(MARKER_TEXTS, MARKER_SHARE * n_own)
+    strong = counts.filter(lift & often).withColumn("score", score)
+    strong = strong.filter(F.col("score") >= MARKER_DEVIATIONS)
+    # a whole word and its beginnings may all be strong: equal scores go to the longest
+    ranked = strong.orderBy(F.desc("score"), F.desc(F.char_length("unit")), "unit").limit(MARKERS * (len(STEMS) + 1))
+    chosen: list[str] = []
+    for unit in (r.unit for r in ranked.collect()):
+        if len(chosen) < MARKERS and not any(unit.startswith(c.strip()) or c.startswith(unit.strip()) for c in chosen):
+            chosen.append(unit)
+    return [c.strip() + " " * c.endswith(" ") for c in chosen]
 
 
 def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn both dictionaries and the calibration from rows of text and label (1 toxic, 0 not)."""
     rows = training.select(quoted(text_col).alias("text"), quoted(label_col).cast("int").alias("y"))
-    rows = rows.filter("text is not null and y is not null")
+    rows = rows.filter("text is not null and y is not null").withColumn("copy", _copy_key(F.col("text")))
+    rows = stage(rows.dropDuplicates(["copy"]).drop("copy"), "toxicity-training")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_plain, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not (n_plain and n_toxic):
-        odds = 20.0 if n_toxic else -20.0
-        return ToxicityModel((), (), (), (), (), (), odds)
-    spelled = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    counts = rows.select("y", F.explode(spelled).alias("word")).groupBy("word").agg(
+        return ToxicityModel((), (), (), (), (), (), 1.0 if n_toxic else 0.0)
+    counts = rows.select("y", F.explode(_units(F.col("text"))).alias("unit")).groupBy("unit").agg(
         F.sum(1 - F.col("y")).alias("plain"), F.sum("y").alias("toxic")
-    ).filter(F.col("plain") + F.col("toxic") >= MARKER_TEXTS).persist()
-    try:
-        toxic = _markers(counts, "toxic", "plain", n_toxic, n_plain)
-        ordinary = _markers(counts, "plain", "toxic", n_plain, n_toxic)
-        by_use = counts.orderBy(F.desc(F.col("plain") + F.col("toxic")), "word").limit(BASE_WORDS + 2 * MARKER_WORDS)
-        common = [r.word for r in by_use.collect() if r.word not in {*toxic, *ordinary}][:BASE_WORDS]
-    finally:
-        counts.unpersist()
-    sample = rows.orderBy(F.xxhash64("text"), "y").limit(CALIBRATION_ROWS)
-    scored = sample.select("y", _feature_column(common, ordinary, toxic)(F.col("text")).alias("x")).collect()
+    )
+    counts = stage(counts.filter(F.col("plain") + F.col("toxic") >= MARKER_TEXTS), "toxicity-units")
+    toxic = _markers(counts, "toxic", "plain", n_toxic, n_plain)
+    ordinary = _markers(counts, "plain", "toxic", n_plain, n_toxic)
+    words = counts.filter(F.endswith("unit", F.lit(" ")))
+    by_use = words.orderBy(F.desc(F.col("plain") + F.col("toxic")), "unit").limit(2 * BASE_WORDS + 2 * MARKERS)
+    marking = [m.strip() for m in (*toxic, *ordinary)]
+    common = [r.unit.strip() for r in by_use.collect() if not any(m in r.unit for m in marking)][:BASE_WORDS]
+    scored = rows.select("y", _feature_column(common, ordinary, toxic)(F.col("text")).alias("x")).collect()
     x, y = np.array([r.x for r in scored]), np.array([r.y for r in scored], float)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights = _logistic((x - centre) / scale, y)
@@ -161,18 +198,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 
 
 def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """The logit from which on calling a text toxic gives the best F1 over the calibration rows."""
+    """The logit from which on calling a text toxic gives the best F measure over the training rows."""
     order = np.argsort(-logits, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits, weight = np.cumsum(y[order]), RECALL_WEIGHT**2
+    measure = (1 + weight) * hits / (np.arange(1, len(y) + 1) + weight * y.sum())
     last = np.r_[np.diff(logits[order]) != 0, True]
-    return float(logits[order][np.argmax(np.where(last, f1, -1))])
+    best = int(np.argmax(np.where(last, measure, -1)))
+    # half way to the next lower score
+    return float((logits[order][best] + logits[order][min(best + 1, len(y) - 1)]) / 2)
 
 
 def score_column(model: ToxicityModel):
     """A column function from text to its score."""
     if not model.weights:
-        return lambda text: F.lit(1 / (1 + math.exp(-model.intercept)))
+        return lambda text: F.lit(model.intercept)
     values = _feature_column(model.common, model.ordinary, model.toxic)
     offset = model.intercept - sum(w * c / s for w, c, s in zip(model.weights, model.centre, model.scale))
     factors = [w / s for w, s in zip(model.weights, model.scale)]
@@ -190,14 +229,16 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_rows(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
-    """Texts with labels of the rows that may be learned from."""
+    """Texts with labels of at most ``fit_rows`` ids that may be learned from."""
     known = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("toxic"))
-    known = known.filter("id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(~held_out(F.col("id")))
+    known = known.filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
-    return texts.join(known, "id").select("text", "toxic")
+    # fit_rows narrow rows at most
+    return texts.join(F.broadcast(known), "id").select("text", "toxic")
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
