@@ -44,7 +44,7 @@ SAMPLE_ROWS = 40_000
 #: Most queries that calibrate the number of visits.
 CALIBRATION_QUERIES = 100
 BRANCHES = 12
-LEAF_ROWS = 256
+LEAF_ROWS = 512
 ROUNDS = 8
 SEED = 5
 #: Members, and visiting queries, of one block of a leaf.
