@@ -96,7 +96,8 @@ def _pieces(epochs: int) -> Column:
         end = F.col("_end") + F.col("_source_size") * epoch
         left = F.floor(F.col("_target")) - (end - F.col("_size"))
         taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), left))
-        finish = F.least(end.cast("double"), F.floor(F.col("_target")).cast("double")) / F.col("_target")
+        served = F.least(end.cast("double"), F.floor(F.col("_target")).cast("double"))
+        finish = F.coalesce(F.try_divide(served, F.col("_target")), F.lit(0.0))  # a source without words has no target
         return F.struct(F.lit(epoch).alias("epoch"), taken.alias("taken"), finish.alias("finish"))
 
     return F.array(*[piece(k) for k in range(epochs)])
