@@ -49,7 +49,7 @@ def parse_list(
     """Typed array from list text such as ``[1, 2]`` or ``[[2, 3], [5, 1]]``.
 
     Round brackets and a trailing comma are accepted. ``on_error="raise"``
-    fails the job on text that is no list, ``"empty"`` returns an empty array
+    fails the job on text that is no list or holds a number beyond the element type, ``"empty"`` returns an empty array
     for it (and for null), ``"null"`` returns null.
     """
     if on_error not in ("raise", "empty", "null"):
@@ -69,7 +69,13 @@ def parse_list(
     if depth == 1:
         # Flat lists stay inside generated code.
         cells = F.array_remove(F.split(F.translate(c, "[]() \t\r\n\f", ""), ","), "")
-        parsed = F.when(c.rlike(whole), cells.try_cast(schema))
+        parsed = cells.try_cast(schema)
+        digits = {"int": 10, "bigint": 19}.get(element)
+        if digits:
+            # Only numbers of so many digits can be out of range; then the text is no list of the element type.
+            in_range = F.transform(F.array(parsed), lambda a: F.when(~F.exists(a, lambda x: x.isNull()), a))[0]
+            parsed = F.when(c.rlike(rf"\d{{{digits}}}"), in_range).otherwise(parsed)
+        parsed = F.when(c.rlike(whole), parsed)
     else:
         # No match extracts the empty string, which is null as JSON.
         text = F.regexp_replace(F.translate(F.regexp_extract(c, whole, 0), "()", "[]"), r",\s*\]", "]")

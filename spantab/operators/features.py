@@ -64,7 +64,7 @@ def class_text(df: DataFrame, column: str) -> Column:
 
 
 def fit_encoder(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Code table (column, class, code): classes sorted, codes from 0 per column.
+    """Code table (column, class, code): classes sorted, codes (bigint) from 0 per column.
 
     The distinct classes are combined map-side. A table of at most
     ``SMALL_CODE_TABLE`` classes is ranked in one window per column; a larger
@@ -76,7 +76,7 @@ def fit_encoder(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     classes = stage(classes, "classes")
     by_column = Window.partitionBy("column").orderBy("class")
     if classes.count() <= SMALL_CODE_TABLE:
-        return classes.withColumn("code", F.row_number().over(by_column) - 1)
+        return classes.withColumn("code", (F.row_number().over(by_column) - 1).cast("bigint"))
     return number_in_order(classes, "column", "class", "code")
 
 
@@ -91,7 +91,7 @@ def number_in_order(distinct: DataFrame, group: str, value: str, name: str) -> D
     inside = Window.partitionBy(group, "_block").orderBy(value)
     return (
         blocks.join(offsets, [group, "_block"])
-        .withColumn(name, F.row_number().over(inside) - 1 + F.col("_offset"))
+        .withColumn(name, (F.row_number().over(inside) - 1 + F.col("_offset")).cast("bigint"))
         .drop("_block", "_offset")
     )
 
@@ -101,10 +101,10 @@ def apply_encoder(df: DataFrame, encoder: DataFrame, columns: Sequence[str], suf
     out = df
     for c in columns:
         codes = encoder.filter(F.col("column") == c).select(
-            F.col("class").alias("_class"), F.col("code").cast("int").alias("_code")
+            F.col("class").alias("_class"), F.col("code").alias("_code")
         )
         text = class_text(out, c)
-        unseen = F.raise_error(F.concat(F.lit(f"unseen class in {c}: "), F.col("_text"))).cast("int")
+        unseen = F.raise_error(F.concat(F.lit(f"unseen class in {c}: "), F.col("_text"))).cast("bigint")
         out = (
             out.withColumn("_text", text)
             .join(codes, F.col("_text") == F.col("_class"), "left")

@@ -67,7 +67,11 @@ def partial_sums(df: DataFrame, inputs: Sequence[Column], kernel: Kernel, length
 
 
 def product_sums(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
-    """Symmetric matrix of sums of products of the columns and a leading 1."""
+    """Symmetric matrix of sums of products of the columns and a leading 1.
+
+    A missing cell is NaN at any width, and so is every sum that it would be part of.
+    """
+    columns = [F.coalesce(c.cast("double"), F.lit(float("nan"))) for c in columns]
     width = len(columns) + 1
     if len(columns) <= SQL_SUM_COLUMNS:
         named = df.select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
@@ -184,9 +188,16 @@ def solve(moments: Moments, x: Sequence[int], y: int) -> tuple[np.ndarray, float
     return coef, float(moments.mean[y] - coef @ moments.mean[index])
 
 
+def labelled(df: DataFrame, target: str) -> DataFrame:
+    """The rows whose target is known; only these are fitted."""
+    y = _quoted(target).cast("double")
+    return df.filter(y.isNotNull() & ~F.isnan(y))
+
+
 def ols_fit(df: DataFrame, features: Sequence[str], target: str) -> LinearModel:
-    """Least squares with intercept; a non-finite feature value gives the mean-only model."""
+    """Least squares with intercept over the rows with a target; a non-finite feature value gives the mean-only model."""
     p = len(features)
+    df = labelled(df, target)
     named = [_quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate([*features, target])]
     with held(df, named) as data:
         moments = column_moments(data, [F.col(f"c{i}") for i in range(p + 1)])

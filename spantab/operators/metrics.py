@@ -16,16 +16,24 @@ def _share(test: Column, percent: bool = False) -> Column:
     return share * 100.0 if percent else share
 
 
+def _unpredicted(y: Column, p: Column) -> Column:
+    """Whether some row of the group has a target but no prediction: errors over the others would flatter the model."""
+    p = p.cast("double")
+    return F.count_if(y.isNotNull() & (p.isNull() | F.isnan(p))) > 0
+
+
 def r2_column(y: Column, p: Column) -> Column:
-    """1 - SSE / SST; a flat target gives 1 when predicted exactly, else 0."""
+    """1 - SSE / SST; a flat target gives 1 when predicted exactly, else 0. Missing predictions give 0."""
     error = F.sum(F.pow(y - p, F.lit(2)))
     spread = F.var_pop(y) * F.count(y)
     flat = F.when(error == 0.0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(spread == 0.0, flat).otherwise(F.lit(1.0) - F.try_divide(error, spread))
+    known = F.when(spread == 0.0, flat).otherwise(F.lit(1.0) - F.try_divide(error, spread))
+    return F.when(_unpredicted(y, p), F.lit(0.0)).otherwise(known)
 
 
 def rmse_column(y: Column, p: Column) -> Column:
-    return F.sqrt(F.avg(F.pow(y - p, F.lit(2))))
+    """Root of the mean squared error; infinite if a row with a target has no prediction."""
+    return F.when(_unpredicted(y, p), F.lit(float("inf"))).otherwise(F.sqrt(F.avg(F.pow(y - p, F.lit(2)))))
 
 
 def match_column(y: Column, p: Column, percent: bool = False) -> Column:

@@ -145,10 +145,12 @@ class SplitPlan:
     folds: tuple[Cut, ...]
 
     def role(self, fold: int, key: Column | str | None = None) -> Column:
-        """Role of a row in one fold; row-local."""
+        """Role of a row in one fold; row-local. A row without a key belongs to no set: its role is null."""
         k = self.key if key is None else key
+        known = (F.col(k) if isinstance(k, str) else k).isNotNull()
         return (
-            F.when(self.test.inside(k), "test").when(self.folds[fold].inside(k), "valid").otherwise("train")
+            F.when(known & self.test.inside(k), "test").when(known & self.folds[fold].inside(k), "valid")
+            .when(known, "train")
         )
 
     def with_role(self, df: DataFrame, fold: int) -> DataFrame:

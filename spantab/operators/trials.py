@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,8 @@ from spantab.operators.metrics import in_bounds_column, match_column, r2_column,
 from spantab.functions.scalars import round_half_up
 from spantab.operators.splits import SplitPlan
 
+FOLD_SCHEMA = "fold int, set string, r2 double, accuracy double, rmse double, bounds_accuracy double"
+
 _log = logging.getLogger(__name__)
 
 
@@ -51,24 +52,27 @@ def fold_experiment(
     """Fit on each fold's train rows; evaluate train, valid, test and bounded rows.
 
     ``fit`` gets the train rows and returns a function adding a column ``p``.
-    A fold whose fit fails is logged and left out. Each fold adds a handful of
-    metric rows, so the result is a union of small aggregates.
+    A fold whose fit fails is logged and gives one row of set ``failed`` without
+    measures, so that averages over fewer folds are seen. Each fold adds a
+    handful of metric rows, so the result is a union of small aggregates.
     """
     exact = exact.persist()
     bounded = bounded.persist()
-    tables = []
-    for fold in range(len(plan.folds)):
-        try:
-            roles = plan.with_role(exact, fold)
-            predict = fit(roles.filter("role = 'train'"))
-            rows = roles.unionByName(bounded.withColumn("role", F.lit("bounded")), allowMissingColumns=True)
-            metrics = evaluate_roles(predict(rows), fold)
-            collected = metrics.collect()  # at most four rows
-            tables.append(exact.sparkSession.createDataFrame(collected, metrics.schema))
-        except Exception as error:  # noqa: BLE001 - a failing fold must not end the others
-            _log.warning("fold %d failed: %s", fold, error)
-    exact.unpersist()
-    bounded.unpersist()
-    if not tables:
+    rows, failures = [], 0
+    try:
+        for fold in range(len(plan.folds)):
+            try:
+                roles = plan.with_role(exact, fold).filter("role is not null")
+                predict = fit(roles.filter("role = 'train'"))
+                both = roles.unionByName(bounded.withColumn("role", F.lit("bounded")), allowMissingColumns=True)
+                rows += evaluate_roles(predict(both), fold).collect()  # at most four rows
+            except Exception as error:  # noqa: BLE001 - a failing fold must not end the others
+                _log.warning("fold %d failed: %s", fold, error)
+                rows.append((fold, "failed", None, None, None, None))
+                failures += 1
+    finally:
+        exact.unpersist()
+        bounded.unpersist()
+    if failures == len(plan.folds):
         raise RuntimeError("every fold failed")
-    return reduce(DataFrame.unionByName, tables)
+    return exact.sparkSession.createDataFrame(rows, FOLD_SCHEMA)

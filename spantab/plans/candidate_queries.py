@@ -11,7 +11,11 @@ from spantab.operators.profiles import null_profile
 from spantab.plans.proxy import CURVES_SQL, TYPED_SQL, curves, table, typed
 from spantab.plans.registry import query, r6, settle
 
-_PROFILED = ("level", "log_conductor", "conductor")
+_PROFILED = (
+    "id", "level", "genus", "genus_minus_rank", "rank", "cusps", "rational_cusps", "log_conductor", "coarse_class_num",
+    "coarse_level", "pointless", "contains_negative_one", "level_is_squarefree", "canonical_conjugator", "conductor",
+    "q_gonality_bounds", "lower", "upper",
+)
 
 
 @query(
@@ -35,9 +39,9 @@ def h1_leftover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(null_profile(curves(spark, sf_dir), ["log_conductor"]))
 
 
-# A response: a function line, then (for most turns) the whole message as the reason.
+# A response: a function line with the whole message as the reason after it or, for some turns, as a preamble.
 RESPONSE = (
-    "CASE WHEN turn % 5 = 4 THEN text ELSE concat('Sure:', chr(10), ' def f', cast(turn AS string),"
+    "CASE WHEN turn % 5 = 4 THEN text ELSE concat(CASE WHEN turn % 3 = 2 THEN text ELSE 'Sure:' END, chr(10), ' def f', cast(turn AS string),"
     " '(row): return log(row[\"', role, '\"] + ', cast(conv_id % 7 AS string), ')',"
     " CASE WHEN turn % 3 = 2 THEN '' ELSE concat(chr(10), 'Reason: ', text) END) END"
 )

@@ -270,7 +270,7 @@ def e13(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact_rows, bounded = split_exact_bounded(typed(spark, sf_dir))
     columns = ["id", *NUMERICAL, "lower", "upper"]
     exact_rows = exact_rows.select(*columns, F.col("lower").alias("y"))
-    plan = fit_splits(exact_rows, "id", n=2)
+    plan = fit_splits(exact_rows, "id", n=5)
 
     def fit(train: DataFrame):
         model = L.ols_fit(train.fillna(0.0), NUMERICAL, "y")

@@ -127,3 +127,12 @@ def test_concat_rows_aligns(spark):
     b = spark.createDataFrame([(2.0, 2)], "v double, id int")
     got = sorted(tuple(r) for r in C.concat_rows([a, b]).select("id", "t", "v").collect())
     assert got == [(1, "x", None), (2, None, 2.0)]
+
+
+def test_numbers_beyond_the_element_type_are_no_list(spark):
+    df = spark.createDataFrame([("[99999999999]",), ("[2147483647, -2147483648]",), ("[0000000000001]",)], "t string")
+    assert [r[0] for r in df.select(parse_list("t", 1, "null")).collect()] == [None, [2147483647, -2147483648], [1]]
+    assert df.select(parse_list("t", 1, "empty")).first()[0] == []
+    with pytest.raises(Exception, match="not a list"):
+        df.select(parse_list("t")).collect()
+    assert df.select(parse_list("t", 1, element="bigint")).first()[0] == [99999999999]

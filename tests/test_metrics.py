@@ -60,3 +60,12 @@ def test_fold_average(spark):
     df = spark.createDataFrame([(0, "t", 0.5, 1.0), (1, "t", 1.0, 3.0)], "fold int, set string, accuracy double, rmse double")
     r = M.fold_average(df).first()
     assert (r["accuracy"], r["rmse"]) == (0.75, 2.0)
+
+
+def test_missing_predictions_give_no_finite_error(spark):
+    data = [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, float("nan")), ("a", 10, None), ("b", 1, 1.0), ("b", 3, 2.0)]
+    df = spark.createDataFrame(data, "g string, y int, p double")
+    for rounded in (True, False):
+        got = by(M.metrics(df, by=["g"], rounded=rounded))
+        assert (got["a"]["r2"], got["a"]["rmse"], got["a"]["accuracy"]) == (0.0, float("inf"), 0.5)
+        assert got["b"]["r2"] == 0.5

@@ -224,3 +224,19 @@ def test_linear_case_without_hidden_layers(frame):
     net = N.Network((1, 1), np.array([2.0, -1.0]), final_activation=False)
     assert N.mlp_predict(frame.limit(3), net, ["level"]).filter("abs(p - (2 * level - 1)) > 1e-12").count() == 0
     assert math.isfinite(N.interval_fit(frame, ["level"], "y", "y", (), 1, rate=1e-4).losses[-1])
+
+
+def test_missing_cells_mean_the_same_at_any_width(spark, monkeypatch):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, None), (4.0, 5.0)], "a double, b double")
+    narrow = {(r.a, r.b): r.value for r in L.gram(df, ["a", "b"]).collect()}
+    monkeypatch.setattr(L, "SQL_SUM_COLUMNS", 0)
+    wide = {(r.a, r.b): r.value for r in L.gram(df, ["a", "b"]).collect()}
+    assert repr(sorted(narrow.items())) == repr(sorted(wide.items()))
+    assert narrow[("a", "a")] == 26.0 and math.isnan(narrow[("a", "b")])
+
+
+def test_rows_without_a_target_are_not_fitted(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(6)] + [(9.0, None)], "x double, y double")
+    model = L.ols_fit(df, ["x"], "y")
+    assert model.coef[0] == pytest.approx(2.0) and model.intercept == pytest.approx(1.0)
+    assert B.fit_initial(df, ["x"], "y", degree=1).current_accuracy == 100.0

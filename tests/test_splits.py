@@ -92,3 +92,10 @@ def test_weak_sets(spark):
     counts = {(r["source"], r["role"]): r["count"] for r in sets.groupBy("source", "role").count().collect()}
     assert counts[("exact", "test")] == counts[("bounded", "test")] == 10
     assert sets.filter("source = 'bounded' AND q_gonality_upper = 2").count() == 100
+
+
+def test_rows_without_a_key_belong_to_no_set(spark):
+    df = spark.createDataFrame([(i,) for i in range(40)] + [(None,)] * 3, "id int")
+    plan = S.fit_splits(df, "id", n=2)
+    roles = plan.with_role(df, 0).collect()
+    assert all((r.role is None) == (r.id is None) for r in roles)
