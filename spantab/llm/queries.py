@@ -17,6 +17,7 @@ from spantab.llm import (
     sharding,
     simhash,
     toxicity,
+    twins,
     vector_search,
 )
 from spantab.llm.spans import of_kind, spelled
@@ -90,7 +91,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("op3_pii")
+@_query("op3_pii", twins.pii_sql())
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, and the terms that give it away."""
     found = pii.find_spans(_table(spark, sf_dir, "documents"))
@@ -137,7 +138,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("op5_secrets")
+@_query("op5_secrets", twins.secrets_sql())
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, and linked parts of credentials."""
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
@@ -207,7 +208,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@_query("op10_licenses")
+@_query("op10_licenses", twins.licenses_sql())
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that every document is, or that its lines name."""
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.known_notices(spark))
