@@ -320,10 +320,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = linked.groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "text_hash")).alias("first")
     )
-    kept = kept.select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")).distinct()
-    keyed = docs.select(packed(docs), quoted(id_col).alias("kept_id"), F.xxhash64(quoted(text_col)).alias("kept_hash"))
-    same = keyed["kept_id"].eqNullSafe(kept["kept_id"]) & (keyed["kept_hash"] == kept["kept_hash"])
-    matched = keyed.join(kept, same, "left_semi")
-    once = Window.partitionBy("kept_id", "kept_hash").orderBy(F.xxhash64("row"))
+    first = F.col("first")
+    kept = kept.select(*_identity(first["id"], first["text_hash"])).distinct()
+    keyed = docs.select(packed(docs), *_identity(quoted(id_col), F.xxhash64(quoted(text_col))))
+    # join and window deal out by the same columns, so texts move once
+    matched = keyed.join(kept, list(_IDENTITY), "left_semi")
+    once = Window.partitionBy(*_IDENTITY).orderBy(F.xxhash64("row"))
     single = matched.withColumn("copy", F.row_number().over(once)).filter("copy = 1")
     return single.select(*unpacked(single))
+
+
+_IDENTITY = ("null_id", "kept_id", "kept_hash")
+
+
+def _identity(id_col: Column, text_hash: Column) -> list[Column]:
+    """Never-null columns that tell a document by its id and text."""
+    spelled = F.coalesce(id_col.cast("string"), F.lit(""))
+    return [c.alias(n) for c, n in zip((id_col.isNull(), spelled, text_hash), _IDENTITY, strict=True)]
