@@ -130,10 +130,10 @@ def _revealing_terms(read: DataFrame, based: DataFrame, support: int, disclosure
     # document frequencies of all terms by hash; a clash of two hashes can only make a term look more common
     everywhere = read.select(F.explode(_terms(F.col("text"))).alias("word"))
     everywhere = everywhere.groupBy(F.xxhash64("word").alias("hashed")).agg(F.count("*").alias("n_t"))
-    documents = based.agg(F.count("*").alias("n"))
-    measured = together.withColumn("hashed", F.xxhash64("word")).join(everywhere, "hashed").join(F.broadcast(documents))
-    information = F.log2(F.col("n") / F.col("n_e"))
-    mutual = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    documents = F.lit(based.count())
+    measured = together.withColumn("hashed", F.xxhash64("word")).join(everywhere, "hashed")
+    information = F.log2(documents / F.col("n_e"))
+    mutual = F.log2(documents * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     measured = measured.filter((information > 0) & (mutual >= disclosure * information))
     pairs = measured.select("entity", "word", (F.col("n_te") == F.col("n_t")).alias("wholly"))
     found = with_terms.select("row_id", "entity", "word").join(pairs, ["entity", "word"])
