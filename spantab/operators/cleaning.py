@@ -85,7 +85,7 @@ def drop_null_rows(df: DataFrame, *groups: str | Sequence[str] | None) -> DataFr
     """Drop rows with a null in any of the named columns that exist."""
     wanted = dict.fromkeys(c for g in groups for c in as_names(g))
     subset = [c for c in wanted if c in df.columns]
-    return df.dropna("any", subset=subset) if subset else df
+    return df.dropna("any", subset=["`" + c.replace("`", "``") + "`" for c in subset]) if subset else df
 
 
 def coerce_numeric(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ NULL_CLASS = "nan"
 BOOLEAN_CLASSES = {True: "True", False: "False"}
 
 SMALL_CODE_TABLE = 100_000
+#: Most classes of a column that are looked up in a literal map instead of a join.
+LITERAL_CLASSES = 64
 
 
 @dataclass(frozen=True)
@@ -97,17 +99,30 @@ def number_in_order(distinct: DataFrame, group: str, value: str, name: str) -> D
 
 
 def apply_encoder(df: DataFrame, encoder: DataFrame, columns: Sequence[str], suffix: str = "_code") -> DataFrame:
-    """Add ``<column>_code``; a class the encoder has not seen fails the job."""
+    """Add ``<column>_code``; a class the encoder has not seen fails the job.
+
+    Columns of at most ``LITERAL_CLASSES`` classes, whose rows all share few
+    keys, are looked up in a literal map; only the others are joined.
+    """
+    sizes = encoder.groupBy("column").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= LITERAL_CLASSES)
+    few = encoder.join(sizes, "column", "left_semi").filter(F.col("column").isin(list(columns)))
+    known: dict[str, list[Row]] = {}
+    for row in few.collect():  # LITERAL_CLASSES per column at most
+        known.setdefault(row["column"], []).append(row)
     out = df
     for c in columns:
+        unseen = F.raise_error(F.concat(F.lit(f"unseen class in {c}: "), F.col("_text"))).cast("bigint")
+        out = out.withColumn("_text", class_text(out, c))
+        if c in known:
+            pairs = [F.lit(v) for r in known[c] for v in (r["class"], r["code"])]
+            code = F.try_element_at(F.create_map(*pairs), F.col("_text"))
+            out = out.withColumn(f"{c}{suffix}", F.coalesce(code.cast("bigint"), unseen)).drop("_text")
+            continue
         codes = encoder.filter(F.col("column") == c).select(
             F.col("class").alias("_class"), F.col("code").alias("_code")
         )
-        text = class_text(out, c)
-        unseen = F.raise_error(F.concat(F.lit(f"unseen class in {c}: "), F.col("_text"))).cast("bigint")
         out = (
-            out.withColumn("_text", text)
-            .join(codes, F.col("_text") == F.col("_class"), "left")
+            out.join(codes, F.col("_text") == F.col("_class"), "left")
             .withColumn(f"{c}{suffix}", F.coalesce(F.col("_code"), unseen))
             .drop("_text", "_class", "_code")
         )

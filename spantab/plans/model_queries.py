@@ -228,11 +228,15 @@ def candidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("seq", "code_str", F.col("readable").alias("name"), "body", "reason")
 
 
+#: Declared parameters of the boosting query: all base features as they are, and the usual number of rounds.
+BOOST_DEGREE, BOOST_ROUNDS = 1, 20
+
+
 @query("e10_boost_loop")
 def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact(spark, sf_dir)
-    run = B.start_run(rows, ["level", "genus", "cusps", "rank"], "y", degree=1)
-    run = B.boost_loop(rows, candidate_table(spark, sf_dir), "y", run, rounds=8)
+    run = B.start_run(rows, list(NUMERICAL), "y", degree=BOOST_DEGREE)
+    run = B.boost_loop(rows, candidate_table(spark, sf_dir), "y", run, rounds=BOOST_ROUNDS)
     progress = [(i + 1, float(a)) for i, a in enumerate(run.accuracies)]
     return settle(spark.createDataFrame(progress, "iteration bigint, boosting_accuracy double"))
 
@@ -253,6 +257,7 @@ def e11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Declared parameters of the boosted trees.
 TREES = {"maxDepth": 4, "maxIter": 5, "stepSize": 0.3}
 
 
@@ -296,12 +301,14 @@ def e15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(N.mlp_predict(typed(spark, sf_dir), _WEIGHTS, ["genus", "cusps"]).select("id", "p"))
 
 
-_NET_FEATURES = ("genus", "level", "cusps", "rank")
+#: Declared parameters of the network queries: hidden layers and epochs; every feature and row takes part.
+HIDDEN, EPOCHS, WARM_EPOCHS = (16, 8), 5, 3
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed(spark, sf_dir).select(*_NET_FEATURES, "lower", "upper", "q_gonality_bounds")
-    return apply_scaler(rows, fit_scaler(rows, _NET_FEATURES))
+    rows = typed(spark, sf_dir).select(*NUMERICAL, "lower", "upper", "q_gonality_bounds")
+    # a missing cell counts as the mean
+    return apply_scaler(rows, fit_scaler(rows, NUMERICAL)).fillna(0.0, list(NUMERICAL))
 
 
 def _loss_table(spark: SparkSession, losses: tuple[float, ...]) -> DataFrame:
@@ -311,12 +318,12 @@ def _loss_table(spark: SparkSession, losses: tuple[float, ...]) -> DataFrame:
 @query("e16_mlp_fit")
 def e16(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scaled(spark, sf_dir).filter(is_exact())
-    return _loss_table(spark, N.mlp_fit(rows, _NET_FEATURES, "lower", (16, 8), 5, rate=0.01).losses)
+    return _loss_table(spark, N.mlp_fit(rows, NUMERICAL, "lower", HIDDEN, EPOCHS, rate=0.01).losses)
 
 
 @query("e17_interval_fit")
 def e17(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scaled(spark, sf_dir)
-    warm = N.mlp_fit(rows.filter(is_exact()), _NET_FEATURES, "lower", (16, 8), 3, rate=0.01)
-    fit = N.interval_fit(rows, _NET_FEATURES, "lower", "upper", epochs=3, rate=0.01, start=warm.network)
+    warm = N.mlp_fit(rows.filter(is_exact()), NUMERICAL, "lower", HIDDEN, WARM_EPOCHS, rate=0.01)
+    fit = N.interval_fit(rows, NUMERICAL, "lower", "upper", epochs=WARM_EPOCHS, rate=0.01, start=warm.network)
     return _loss_table(spark, fit.losses)

@@ -174,7 +174,19 @@ def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
         lines.close()
     if first is None:
         raise ValueError("empty file")
-    return tuple(next(csv.reader([first.removeprefix("\ufeff")], delimiter=sep)))
+    return _distinct_names(next(csv.reader([first.removeprefix("\ufeff")], delimiter=sep)))
+
+
+def _distinct_names(names: Sequence[str]) -> tuple[str, ...]:
+    seen: dict[str, int] = {}
+    out: list[str] = []
+    for name in names:
+        plain, again = name, seen.get(name, 0)
+        while again and (name := f"{plain}.{again}") in (*names, *out):
+            again += 1
+        seen[plain] = again + 1
+        out.append(name)
+    return tuple(out)
 
 
 def combine_chunks(
@@ -190,10 +202,12 @@ def combine_chunks(
 
     Cells lose their blanks, null tokens become null, wanted columns are kept
     where a chunk has them, chunks are united by name, and rows with a null
-    in a wanted column are dropped. A missing or unreadable file, or one with a
-    line longer than its header, is logged and left out as a whole. Files
-    with equal headers are one scan; the driver handles file names and header
-    lines only. With ``schema`` the wanted scalar columns are typed at the end.
+    in a wanted column are dropped. A missing file, one whose header cannot be
+    read, or one with a line longer than its header, is logged and left out as
+    a whole; a file that breaks after its header fails the job. Of equal header
+    names the first keeps its name, later ones get ``.1``, ``.2`` and so on.
+    Files with equal headers are one scan; the driver handles file names and
+    header lines only. With ``schema`` the wanted scalar columns are typed at the end.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
     for path in existing_paths(spark, list(paths)):

@@ -35,6 +35,20 @@ def test_encoder_sorted_and_strict(spark):
         D.apply_encoder(unseen, table, ["t"]).collect()
 
 
+def test_encoder_gives_the_same_by_map_and_by_join(spark, monkeypatch):
+    rows = [(True, f"c{i % 7}", i) for i in range(50)] + [(None, None, 99)]
+    df = spark.createDataFrame(rows, "f boolean, t string, i int")
+    table = D.fit_encoder(df, ["f", "t"])
+    mapped = D.apply_encoder(df, table, ["f", "t"])
+    monkeypatch.setattr(D, "LITERAL_CLASSES", 2)  # f stays a map, t is joined
+    joined = D.apply_encoder(df, table, ["f", "t"])
+    assert mapped.dtypes == joined.dtypes and sorted(mapped.collect(), key=repr) == sorted(joined.collect(), key=repr)
+    unseen = spark.createDataFrame([(True, "new", 1)], df.schema)
+    with pytest.raises(Exception, match="unseen class in t: new"):
+        D.apply_encoder(unseen, table, ["t"]).collect()
+    assert D.apply_encoder(df.limit(0), table, ["f", "t"]).count() == 0
+
+
 def test_large_code_table_is_numbered_in_blocks(spark, monkeypatch):
     df = spark.range(5000).select(F.concat(F.lit("same prefix "), F.col("id").cast("string")).alias("t"))
     small = {r["class"]: r["code"] for r in D.fit_encoder(df, ["t"]).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 
 from spantab.plans.queries import ORACLES, QUERIES
@@ -19,8 +21,16 @@ def test_equals_sql(spark, sf_dir, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_has_rows(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_has_finite_rows(spark, sf_dir, name):
+    rows = QUERIES[name](spark, sf_dir).collect()
+    assert rows
+    assert all(math.isfinite(v) for r in rows for v in r if isinstance(v, float))
+
+
+@pytest.mark.parametrize("name", ["e16_mlp_fit", "e17_interval_fit"])
+def test_loss_falls(spark, sf_dir, name):
+    losses = [r["loss"] for r in QUERIES[name](spark, sf_dir).orderBy("epoch").collect()]
+    assert losses[-1] < losses[0]
 
 
 def test_oracles_belong_to_queries():

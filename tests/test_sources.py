@@ -98,6 +98,12 @@ def test_combine_chunks(spark, tmp_path, caplog):
     assert typed.dtypes[:2] == [("id", "bigint"), ("level", "int")]
 
 
+def test_equal_header_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id;v;v;v.1\n1;2;3;4\n")
+    out = A.combine_chunks(spark, [str(tmp_path / "a.csv")], "id", ["v", "v.1", "v.2"])
+    assert out.first().asDict() == {"id": "1", "v": "2", "v.1": "4", "v.2": "3"}
+
+
 def test_compressed_chunk_files(spark, tmp_path, caplog):
     import gzip
 
