@@ -211,7 +211,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_licenses", twins.licenses_sql())
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that every document is, or that its lines name."""
-    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.known_notices(spark))
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.known_texts(spark))
     return found.select(
         F.col("id").alias("doc_id"), "text_digest", F.array_join("whole", ",").alias("license_text"),
         F.array_join("notices", ",").alias("license_lines"), F.size("notices").cast("long").alias("n_notices"),

@@ -209,6 +209,26 @@ def test_licenses(spark, odd, nothing):
     assert licenses.scan_licenses(nothing, known).count() == 0
 
 
+def test_whole_licenses_are_known_to_the_query(spark, tmp_path):
+    import textwrap
+
+    texts = dict((i, t) for i, t in licenses.license_texts() if i in ("MIT", "ISC", "Zlib", "Unlicense", "BSD-3-Clause", "GPL-2.0"))
+    docs = [("SPDX-License-Identifier: MIT", ("MIT", "MIT")), ("// spdx-license-identifier: GPL-3.0-or-later\nx", ("", "GPL-3.0"))]
+    for name, text in texts.items():
+        for width in (40, 57, 72, 79, 300):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in text.upper().replace(".", " ..").split("\n\n"))
+            if name != "GPL-2.0":  # which has its own copyright line in the middle
+                wrapped = "Copyright (c) 2021, Some Person <a@b.org>\nAll rights reserved.\n\n" + wrapped
+            docs.append((wrapped if name != "GPL-2.0" else text.lower().replace("\n", "  \n"), (name, "")))
+    docs.append((docs[2][0] + "\nand one more word", ("", "")))
+    mit = next(t for i, t in licenses.license_texts() if i == "MIT")
+    docs.append(("\n".join("# " + x for x in f"The MIT License (MIT)\nCopyright © 2020 X\n{textwrap.fill(mit, 60)}".split("\n")), ("MIT", "")))
+    rows = [(i, t) for i, (t, _) in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license_text, r.license_lines) for r in QUERIES["op10_licenses"](spark, str(tmp_path)).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(docs)}
+
+
 def test_toxicity_is_learned_and_ids_are_not_inputs(spark):
     base = "the house and a garden with some trees that were there for many long years beside water".split()
 
