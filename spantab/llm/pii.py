@@ -5,8 +5,9 @@ Every distinct value is a protected entity. How strongly a term reveals an
 entity is measured over the corpus: with ``n`` documents, ``n_t`` with the
 term, ``n_e`` with the entity and ``n_te`` with both, the pointwise mutual
 information ``log2(n n_te / (n_t n_e))`` is compared with the entity's own
-information ``log2(n / n_e)``. In documents that hold the entity, a term whose
-share reaches ``DISCLOSURE`` is a span too. Sanitising replaces base spans by
+information ``log2(n / n_e)``. A term whose share reaches ``DISCLOSURE`` is a
+span too, in every document: it gives the entity away where the entity itself
+is not spelled out as well. Sanitising replaces base spans by
 their kind, removes terms that reveal everything and generalises the others.
 
 Terms are letter runs of ``TERM_LETTERS`` or more, lower-cased. Terms and
@@ -91,7 +92,7 @@ def _terms(text: Column) -> Column:
 def find_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE
 ) -> DataFrame:
-    """Per document ``id, base, terms``: its base spans, and the spans of terms that reveal one of its entities.
+    """Per document ``id, base, terms``: its base spans, and the spans of terms that reveal an entity.
 
     ``terms`` spans have kind ``term``; their value is the text. A term span
     that a base span covers in part is left to the base span. ``full`` names
@@ -100,46 +101,43 @@ def find_spans(
     text = F.coalesce(quoted(text_col), F.lit(""))
     read = docs.select(quoted(id_col).alias("id"), text.alias("text"))
     based = read.select(F.monotonically_increasing_id().alias("row_id"), "id", "text", base_spans(F.col("text")).alias("base"))
-    # texts go along only where an entity was found
-    based = stage(based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-base")
-    revealing = _revealing_terms(read, based, support, disclosure)
-    held = based.filter("text is not null").select("row_id", "text", "base")
+    based = stage(based, "pii-base")
+    revealing = stage(_revealing_terms(based, support, disclosure), "pii-revealing")
     any_case = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
     clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
-    spans = held.join(revealing, "row_id").select(
-        "row_id", F.filter(matches(F.col("text"), any_case, TERM, 4, lambda m: F.lit(True)), clear).alias("terms"), "full"
-    )
-    nothing = F.array().cast("array<string>")
-    return based.join(spans, "row_id", "left").select(
-        "id", "base", F.coalesce("terms", no_spans()).alias("terms"), F.coalesce("full", nothing).alias("full")
+    terms = F.filter(matches(F.col("text"), any_case, TERM, 4, lambda m: F.lit(True)), clear)
+    return based.join(revealing, "row_id", "left").select(
+        "id", "base", F.when(F.col("words").isNotNull(), terms).otherwise(no_spans()).alias("terms"),
+        F.coalesce("full", F.array().cast("array<string>")).alias("full"),
     )
 
 
-def _revealing_terms(read: DataFrame, based: DataFrame, support: int, disclosure: float) -> DataFrame:
-    """Per row the ``words`` that reveal an entity in it, and those that do so wholly."""
+def _revealing_terms(based: DataFrame, support: int, disclosure: float) -> DataFrame:
+    """Per row with any the ``words`` that reveal an entity, and those that do so wholly."""
     entities = F.array_distinct(F.transform("base", _entity))
-    holding = based.filter("text is not null").select("row_id", F.explode(entities).alias("entity"))
+    holders = based.filter(F.size("base") > 0)
+    holding = holders.select("row_id", F.explode(entities).alias("entity"))
     known = holding.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
     with_terms = (
         holding.join(known, "entity")
-        .join(based.filter("text is not null").select("row_id", _terms(F.col("text")).alias("words")), "row_id")
+        .join(holders.select("row_id", _terms(F.col("text")).alias("words")), "row_id")
         .select("row_id", "entity", "n_e", F.explode("words").alias("word"))
     )
     together = with_terms.groupBy("entity", "word", "n_e").agg(F.count("*").alias("n_te"))
     together = stage(together.filter(F.col("n_te") >= support), "pii-pairs")
     # document frequencies of all terms by hash; a clash of two hashes can only make a term look more common
-    everywhere = read.select(F.explode(_terms(F.col("text"))).alias("word"))
-    everywhere = everywhere.groupBy(F.xxhash64("word").alias("hashed")).agg(F.count("*").alias("n_t"))
+    everywhere = based.select("row_id", F.explode(_terms(F.col("text"))).alias("word"))
+    counts = everywhere.groupBy(F.xxhash64("word").alias("hashed")).agg(F.count("*").alias("n_t"))
     documents = F.lit(based.count())
-    measured = together.withColumn("hashed", F.xxhash64("word")).join(everywhere, "hashed")
+    measured = together.withColumn("hashed", F.xxhash64("word")).join(counts, "hashed")
     information = F.log2(documents / F.col("n_e"))
     mutual = F.log2(documents * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     measured = measured.filter((information > 0) & (mutual >= disclosure * information))
-    pairs = measured.select("entity", "word", (F.col("n_te") == F.col("n_t")).alias("wholly"))
-    found = with_terms.select("row_id", "entity", "word").join(pairs, ["entity", "word"])
-    by_word = found.groupBy("row_id", "word").agg(F.max("wholly").alias("wholly"))
+    words = measured.groupBy("word").agg(F.max(F.col("n_te") == F.col("n_t")).alias("wholly"))
+    # written first, so that the join below knows how few they are
+    found = everywhere.join(stage(words, "pii-words"), "word")
     # at most the distinct words of one document
-    return by_word.groupBy("row_id").agg(
+    return found.groupBy("row_id").agg(
         F.array_sort(F.collect_list("word")).alias("words"),
         F.array_sort(F.collect_list(F.when(F.col("wholly"), F.col("word")))).alias("full"),
     )

@@ -73,6 +73,14 @@ def test_pii_terms_that_reveal_an_entity(spark):
     assert clean[1] == " wrote to [email] about matters  1" and clean[10] == "somebody wrote about matters 0"
 
 
+def test_pii_terms_are_found_without_their_entity(spark):
+    rows = [(i, f"Zebulon wrote to me@x.org on day {i}") for i in range(9)] + [(9, "it was zebulon himself, they say")]
+    rows += [(10 + i, f"somebody wrote, they say, on day {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.id: [s.value for s in r.terms] for r in pii.find_spans(docs).collect()}
+    assert got == {i: ["Zebulon"] if i < 9 else ["zebulon"] if i == 9 else [] for i in range(410)}
+
+
 def test_secrets_base_spans_equal_brute_force(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     extra = [
