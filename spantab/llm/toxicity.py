@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries share a base of common words. One goes on with
 markers of toxic training texts, the other with markers of ordinary ones:
-words and word beginnings that are far more frequent in one class. Every
+words and word beginnings that are far more frequent in one class, however rare. Every
 window of a text is compressed with both. A window that is shorter under the
 toxic dictionary holds something toxic; the bytes saved over all windows of a
 text, through a logistic calibration with a fitted threshold, give a score
@@ -42,16 +42,18 @@ FIT_ROWS = 40_000
 #: Words common to both dictionaries, and most markers of a class.
 BASE_WORDS = 2000
 MARKERS = 300
-#: Lengths of word beginnings that may be markers, beside whole words of the least length or more.
+#: Lengths of word beginnings that may be markers, beside whole words.
 STEMS = (4, 5, 6)
-#: A marker is this many times as frequent in its class, by so many standard deviations, in so many texts
-#: and such a share of the class.
+#: Letters of the shortest whole word that may be a marker; with its spaces a shorter one is no match.
+WORD_LETTERS = 3
+#: A marker is this many times as frequent in its class, by so many standard deviations, in so many texts.
 MARKER_LIFT = 3.0
 MARKER_DEVIATIONS = 6.0
 MARKER_TEXTS = 3
-MARKER_SHARE = 0.01
-#: Training texts with the same smallest hash of so many consecutive words count as copies, of which one is learned from.
+#: Training texts of one label with the same smallest hashes of so many consecutive words, in each of the orders
+#: that these masks give, count as copies, of which one is learned from.
 COPY_WORDS = 4
+COPY_MASKS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)
 #: The weight of recall against precision where the threshold is fitted.
 RECALL_WEIGHT = 1.0
 LEVELS = (2, 3, 4, 5, 6)
@@ -118,20 +120,23 @@ def _feature_column(common: Sequence[str], ordinary: Sequence[str], toxic: Seque
 
 
 def _copy_key(text: Column) -> Column:
-    """The smallest hash of a text's word runs: copies mostly share it, other texts hardly ever."""
+    """The smallest hashes of a text's word runs in several orders: copies mostly share all, other texts hardly ever."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
-    def least(ws: Column) -> Column:
+    def hashes(ws: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - COPY_WORDS + 1, F.lit(1)))
-        return F.array_min(F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, COPY_WORDS))))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, COPY_WORDS)))
 
-    # the words as a bound variable: an expression would be evaluated again for every run
-    return F.transform(F.array(words), least)[0]
+    def least(found: Column) -> Column:
+        return F.array(*[F.array_min(F.transform(found, lambda h, m=m: h.bitwiseXOR(F.lit(m)))) for m in COPY_MASKS])
+
+    # the words and hashes as bound variables: an expression would be evaluated again for every run
+    return F.transform(F.transform(F.array(words), hashes), least)[0]
 
 
 def _units(text: Column) -> Column:
     """Distinct words (with a space at the end) and word beginnings of a text."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{" + str(STEMS[0]) + r",}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{" + str(WORD_LETTERS) + r",}"), F.lit(0))
     spelled = F.transform(
         F.array_distinct(words),
         lambda w: F.array(F.concat(w, F.lit(" ")), *[F.when(F.char_length(w) > k, F.substring(w, 1, k)) for k in STEMS]),
@@ -139,29 +144,40 @@ def _units(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.flatten(spelled)))
 
 
+def _alike(a: str, b: str) -> bool:
+    """Whether one unit begins like the other; a word too short to be a beginning is like no other."""
+    a, b = sorted((a.strip(), b.strip()), key=len)
+    return a == b or (len(a) >= STEMS[0] and b.startswith(a))
+
+
 def _markers(counts: DataFrame, own: str, other: str, n_own: int, n_other: int) -> list[str]:
     """Units far more frequent in texts of one class, the strongest first; none begins like a stronger one."""
     share = (F.col(own) + F.col(other)) / (n_own + n_other)
     deviation = F.sqrt(share * (1 - share) * n_own * n_other / (n_own + n_other))
     score = F.try_divide(F.col(own) - share * n_own, deviation)
     lift = F.col(own) / n_own >= MARKER_LIFT * F.col(other) / n_other
-    often = F.col(own) >= max(MARKER_TEXTS, MARKER_SHARE * n_own)
-    strong = counts.filter(lift & often).withColumn("score", score)
+    strong = counts.filter(lift & (F.col(own) >= MARKER_TEXTS)).withColumn("score", score)
     strong = strong.filter(F.col("score") >= MARKER_DEVIATIONS)
     # a whole word and its beginnings may all be strong: equal scores go to the longest
     ranked = strong.orderBy(F.desc("score"), F.desc(F.char_length("unit")), "unit").limit(MARKERS * (len(STEMS) + 1))
     chosen: list[str] = []
     for unit in (r.unit for r in ranked.collect()):
-        if len(chosen) < MARKERS and not any(unit.startswith(c.strip()) or c.startswith(unit.strip()) for c in chosen):
+        if len(chosen) < MARKERS and not any(_alike(unit, c) for c in chosen):
             chosen.append(unit)
     return [c.strip() + " " * c.endswith(" ") for c in chosen]
 
 
+def _holds(word: str, marker: str) -> bool:
+    """Whether a common word would take the place of a marker; a short marker is matched with its spaces only."""
+    return marker in word if len(marker) >= STEMS[0] else marker == word.strip()
+
+
 def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn both dictionaries and the calibration from rows of text and label (1 toxic, 0 not)."""
     rows = training.select(quoted(text_col).alias("text"), quoted(label_col).cast("int").alias("y"))
     rows = rows.filter("text is not null and y is not null").withColumn("copy", _copy_key(F.col("text")))
-    rows = stage(rows.dropDuplicates(["copy"]).drop("copy"), "toxicity-training")
+    rows = rows.groupBy("y", "copy").agg(F.min("text").alias("text")).select("text", "y")
+    rows = stage(rows, "toxicity-training")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_plain, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not (n_plain and n_toxic):
@@ -175,7 +191,7 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     words = counts.filter(F.endswith("unit", F.lit(" ")))
     by_use = words.orderBy(F.desc(F.col("plain") + F.col("toxic")), "unit").limit(2 * BASE_WORDS + 2 * MARKERS)
     marking = [m.strip() for m in (*toxic, *ordinary)]
-    common = [r.unit.strip() for r in by_use.collect() if not any(m in r.unit for m in marking)][:BASE_WORDS]
+    common = [r.unit.strip() for r in by_use.collect() if not any(_holds(r.unit, m) for m in marking)][:BASE_WORDS]
     scored = rows.select("y", _feature_column(common, ordinary, toxic)(F.col("text")).alias("x")).collect()
     x, y = np.array([r.x for r in scored]), np.array([r.y for r in scored], float)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9

@@ -256,6 +256,38 @@ def test_toxicity_is_learned_and_ids_are_not_inputs(spark):
     assert toxicity.drop_toxic(docs, model).count() == sum(not r.predicted for r in scored)
 
 
+def test_toxicity_learns_rare_and_short_words(spark):
+    import random
+
+    draw = random.Random(7)
+    base = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(400)]
+    bad = ["".join(draw.choices("uvwxyz", k=3 + i % 6)) for i in range(140)]  # each in 5 of 700 toxic texts
+    rows = [(i, " ".join(draw.choices(base, k=12) + ([bad[i % 140]] if i < 700 else []) + draw.choices(base, k=12)), int(i < 700))
+            for i in range(7000)]
+    training = spark.createDataFrame([r[1:] for r in rows], "text string, toxic int")
+    model = toxicity.fit(training)
+    scored = toxicity.score_documents(training, model).collect()
+    hits, called = sum(r.predicted and r.toxic for r in scored), sum(r.predicted for r in scored)
+    assert hits / 700 > 0.9 and hits / max(1, called) > 0.9, (hits, called)
+
+
+def test_toxicity_texts_with_a_common_passage_are_no_copies(spark):
+    common = " ".join(f"shared{chr(97 + k)}" for k in range(12))
+    words = [" ".join("w" + "".join(chr(97 + int(c)) for c in str(1000 * i + k)) for k in range(12)) for i in range(200)]
+    docs = spark.createDataFrame([(f"{common} {w}",) for w in words], "text string")
+    assert docs.select(toxicity._copy_key(F.col("text")).alias("key")).distinct().count() >= 180
+    copies = spark.createDataFrame([(f"{common}, {words[0]}!",), (f"{common} {words[0]}",)], "text string")
+    assert copies.select(toxicity._copy_key(F.col("text")).alias("key")).distinct().count() == 1
+
+
+def test_toxicity_held_out_precision_and_recall(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    scored = QUERIES["op2_toxicity"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    rows = scored.filter("held_out").collect()
+    hits = sum(r.predicted and r.toxic for r in rows)
+    assert hits / sum(r.toxic for r in rows) > 0.7 and hits / sum(r.predicted for r in rows) > 0.8
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
     scored = QUERIES["op2_toxicity"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
