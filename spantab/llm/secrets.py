@@ -5,7 +5,8 @@ more characters), ``access`` (access key ids) and ``hex`` (runs of 16 or more
 hexadecimal digits). Weak candidates, kinds ``identifier`` (account and client
 ids), ``token`` (long mixed values without a key word) and ``endpoint``
 (addresses with a scheme), mean nothing alone. An interval join over each
-document looks ``SCOPE`` code points to both sides of a candidate: identifiers
+document looks ``SCOPE`` code points to both sides of a candidate, from its
+start and its stop, whatever the lengths of the parts: identifiers
 and endpoints are reported when a secret is in scope, a token when an
 identifier or an endpoint is.
 
@@ -106,10 +107,16 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = arrow_udf(_parts, f"array<{_PART}>")(quoted(text_col))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), quoted(id_col).alias("id"), parts.alias("parts"))
     rows = rows.select("row_id", "id", F.explode_outer("parts").alias("part"))
-    near = Window.partitionBy("row_id", "id").orderBy(F.col("part.start")).rangeBetween(-scope, scope)
+    by_row, start, stop = Window.partitionBy("row_id", "id"), F.col("part.start"), F.col("part.stop")
+    upwards = by_row.orderBy(start).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # a frame that only grows is read once; one up to the last row would be read again for every row
+    downwards = by_row.orderBy(start.desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
     def any_of(kinds: tuple[str, ...]):
-        return F.coalesce(F.max(F.col("part.kind").isin(*kinds)).over(near), F.lit(False))
+        wanted = F.col("part.kind").isin(*kinds)
+        gap_before = start - F.max(F.when(wanted, stop)).over(upwards)
+        gap_after = F.min(F.when(wanted, start)).over(downwards) - stop
+        return F.coalesce(gap_before <= scope, F.lit(False)) | F.coalesce(gap_after <= scope, F.lit(False))
 
     linked = rows.select("row_id", "id", "part", any_of(SECRETS).alias("secret"), any_of(ADDRESSES).alias("address"))
     reported = (

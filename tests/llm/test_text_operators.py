@@ -110,6 +110,17 @@ def test_weak_parts_need_their_complement(spark):
     }
 
 
+def test_long_secrets_are_near_what_follows_them(spark):
+    token = "Zx9" * 200
+    texts = [f"{token} client_id = service42", f"client_id = service42 {token}", f"password = {token} client_id = service42",
+             f"{token} {'far ' * 99}client_id = service42", f"{token} {'far ' * 101}client_id = service42",
+             f"{token} {'AKIA' + 'Z' * 16} {'far ' * 50} https://a.example.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    kinds = {r.id: [s.kind for s in r.spans] for r in secrets.find_secrets(docs).collect()}
+    assert kinds == {0: ["token", "identifier"], 1: ["identifier", "token"], 2: ["assign", "identifier"],
+                     3: ["token", "identifier"], 4: [], 5: ["token", "access", "endpoint"]}
+
+
 def test_spans_odd_input(odd, nothing):
     for find in (pii.find_spans, secrets.find_secrets):
         assert sorted((r.id is None, r.id or 0) for r in find(odd).collect()) == sorted(
