@@ -4,7 +4,7 @@ A page is cut into blocks at block-level tags. The first pass decides what it
 can: blocks in menus, headers, footers, sidebars, notices, adverts, forms and
 comments, and blocks that are mostly links, are boilerplate; long blocks with
 enough stop words are text; long blocks with none are boilerplate unless they
-stand in an article. Short and middling blocks stay open. The second pass
+stand in an article or no block of the page has enough. Short and middling blocks stay open. The second pass
 gives each open block the label of its nearest decided neighbours: both alike,
 or the nearer of two that differ; in an article the neighbours are those of
 the article, and an article without a decided block is text.
@@ -30,6 +30,8 @@ from pyspark.sql.functions import arrow_udf
 from spantab.llm.ordering import packed, quoted, unpacked
 
 MAX_LINK_DENSITY = 0.33
+#: Share of link characters up to which a long block in an unknown language is text.
+MAX_LINKED = 0.1
 #: Characters below which a block is too short to judge, and from which on few stop words suffice.
 SHORT = 70
 LONG = 200
@@ -75,6 +77,8 @@ BOILERPLATE_NAMES = frozenset(
     search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget
     """.split()
 )
+#: Of these, what is no wrapper of an article, whatever other words stand beside it.
+ASIDE_NAMES = frozenset("comment comments cookie disqus related reply respond".split())
 #: Comments, declarations and tags; quoted attribute values may hold ">", and a tag with a stray quote ends at the next ">".
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
@@ -107,8 +111,8 @@ class _Reader:
     link_chars: int = 0
     in_link: bool = False
     marked: bool = False
-    #: (tag, is boilerplate, number of the article)
-    open: list[tuple[str, bool, int]] = field(default_factory=list)
+    #: (tag, is boilerplate, number of the article, is boilerplate not only by a word in a compound name)
+    open: list[tuple[str, bool, int, bool]] = field(default_factory=list)
     articles: int = 0
 
     def add(self, raw: str) -> None:
@@ -121,21 +125,22 @@ class _Reader:
         if self.words:
             text = " ".join(html.unescape("".join(self.words)).split())
             if text:
-                _, bad, article = self.open[-1] if self.open else ("", False, 0)
+                _, bad, article, _ = self.open[-1] if self.open else ("", False, 0, False)
                 self.blocks.append(Block(text, min(self.link_chars, len(text)), bad or self.marked, article))
         self.words, self.link_chars, self.marked = [], 0, False
 
     def start(self, tag: str, attributes: str) -> None:
-        _, bad, article = self.open[-1] if self.open else ("", False, 0)
+        _, bad, article, sure = self.open[-1] if self.open else ("", False, 0, False)
         named = tag != "body" and is_named(attributes)
         if tag in ("article", "main") and not named and not article:
-            # a menu or header that was never closed does not hold the article; other boilerplate may
-            if not any(b and t not in UNCLOSED_TAGS for t, b, _ in self.open):
+            # a menu or header that was never closed does not hold the article, and a wrapper with a listed word
+            # among others in its name is none; other boilerplate may
+            if not any(b and t not in UNCLOSED_TAGS for t, _, _, b in self.open):
                 self.articles += 1
-                bad, article = False, self.articles
+                bad, sure, article = False, False, self.articles
         page_header = tag == "header" and not article
-        bad = bad or named or tag in BOILERPLATE_TAGS or page_header or bool(_HIDDEN.search(attributes))
-        self.open.append((tag, bad, article))
+        sure = sure or tag in BOILERPLATE_TAGS or page_header or bool(_HIDDEN.search(attributes))
+        self.open.append((tag, bad or named or sure, article, sure or (named and is_aside(attributes))))
 
     def end(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -150,6 +155,13 @@ def is_named(attributes: str) -> bool:
     return any(word in BOILERPLATE_NAMES for value in values for word in re.split(r"[^a-z]+", value))
 
 
+def is_aside(attributes: str) -> bool:
+    """Whether a name is made of boilerplate words only, or holds one that no wrapper of an article has."""
+    names = (name for found in _NAMES.findall(attributes) for name in "".join(found).lower().split())
+    words = [{w for w in re.split(r"[^a-z]+", name) if w} for name in names]
+    return any(ws and (ws <= BOILERPLATE_NAMES or ws & ASIDE_NAMES) for ws in words)
+
+
 def blocks_of(page: str) -> list[Block]:
     reader, at = _Reader(), 0
     while True:
@@ -197,6 +209,12 @@ def first_pass(block: Block) -> bool | None:
 def labels(blocks: list[Block]) -> list[bool]:
     """Which blocks are text."""
     decided = [first_pass(b) for b in blocks]
+    if not any(decided):
+        # no block has known stop words enough: another language, whose long blocks with few links are the text
+        decided = [
+            d if b.boilerplate or len(b.text) < SHORT or b.link_chars > MAX_LINKED * len(b.text) else True
+            for b, d in zip(blocks, decided)
+        ]
 
     def neighbours(order) -> list[tuple[bool, int] | None]:
         """Per block the label and place of the last decided one before it; articles keep to themselves."""

@@ -188,6 +188,18 @@ def test_main_text_of_a_page():
     assert html_text.main_text(PAGE) == want
 
 
+def test_main_text_in_wrappers_and_other_languages():
+    text = "The cat sat on the mat and it was happy with the sun that came in by the window for all of the day."
+    for name in ("content-sidebar-wrap", "has-sidebar", "page no-ads", "search-results"):
+        assert html_text.main_text(f"<div class='{name}'><main><p>{text}</p></main></div>") == text, name
+    for name in ("sidebar", "cookie-notice", "comment-list", "related-posts"):
+        assert html_text.main_text(f"<div class='{name}'><article><p>{text}</p></article></div>") == "", name
+    for other in ("Случилось так что однажды весной в час небывало жаркого заката в городе появились двое граждан.",
+                  "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏" * 4):
+        page = f"<nav><a href=x>one</a></nav><div><p>{other}</p></div><div><a href=y>{other}</a></div>"
+        assert html_text.main_text(page) == other
+
+
 def test_main_text_without_an_article():
     text = "The cat sat on the mat and it was happy with the sun that came in by the window for all of the day. " * 3
     page = f"<div><a href=x>one</a> <a href=y>two</a></div><h2>Cats</h2><div>{text}</div><p>And so.</p><p>{'zzz ' * 60}</p>"
