@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from spantab.llm import (
     decontamination,
+    filter_audit,
     html_text,
     licenses,
     mixing,
+    piece_encoding,
     pii,
     secrets,
     sharding,
@@ -216,3 +218,58 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "text_digest", F.array_join("whole", ",").alias("license_text"),
         F.array_join("notices", ",").alias("license_lines"), F.size("notices").cast("long").alias("n_notices"),
     )
+
+
+VOCABULARY = "piece_bpe_32k.model"
+
+
+@_query("op12_piece_encoding")
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and the text decoded from them."""
+    import public_tokenizers  # only this query reads its files
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = piece_encoding.read_model(public_tokenizers.path(VOCABULARY))
+    found = piece_encoding.encode_documents(docs, model)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "agrees",
+    )
+
+
+@_query(
+    "op13_filter_audit",
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    l AS (SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INT) AS good, max((toxic IS NOT DISTINCT FROM 1)::INT) AS toxic
+          FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+    m AS (SELECT doc_id, part, MAP {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+                 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+                 'D': regexp_matches(text, '[#$%&*|]'),
+                 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)} AS fails FROM t),
+    c AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+          FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS f FROM f a, f b, f c, f d, f e
+          WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    p AS (SELECT part, f, fails, n, good, toxic,
+                 coalesce(list_position(list_transform(f, lambda x: fails[x]), true), 6) AS first,
+                 len(list_filter(f, lambda x: fails[x])) AS n_fails FROM c, o),
+    s AS (SELECT part, array_to_string(f, '') AS filter_order, step, f[step] AS x,
+                 coalesce(sum(n) FILTER (first > step), 0) AS kept, coalesce(sum(n) FILTER (first = step), 0) AS removed,
+                 coalesce(sum(n) FILTER (fails[f[step]] AND first < step), 0) AS redundant,
+                 coalesce(sum(n) FILTER (fails[f[step]] AND n_fails = 1), 0) AS unique_fails,
+                 coalesce(sum(good) FILTER (first = step), 0) AS good_lost,
+                 coalesce(sum(toxic) FILTER (first = step), 0) AS toxic_lost
+          FROM p, (SELECT unnest(range(1, 6))::INT AS step) GROUP BY part, f, step)
+    SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+           unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+    FROM s
+    """,
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every filter removes in every order of the five filters, per language."""
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

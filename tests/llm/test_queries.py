@@ -22,7 +22,7 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_names_and_types(spark, sf_dir):
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     kinds = dict(QUERIES["op2_toxicity"](spark, sf_dir).dtypes)
     assert kinds["held_out"] == "boolean" and kinds["score"] == "double" and kinds["predicted"] == "int"
 
