@@ -11,6 +11,7 @@ from spantab.llm import (
     decontamination,
     filter_audit,
     html_text,
+    lexical_search,
     licenses,
     mixing,
     piece_encoding,
@@ -220,6 +221,35 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(
+    "op11_lexical_search",
+    r"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS row_id,
+                      regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+    g AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+    i AS (SELECT item_id, row_number() OVER () AS item_row,
+                 regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+    q AS (SELECT item_row, item_id, term, count(*) AS times FROM i, unnest(t) AS u(term) GROUP BY ALL),
+    f AS (SELECT row_id, doc_id, len(t) AS n, term, count(*) AS tf FROM d, unnest(t) AS u(term)
+          WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+          FROM f, g GROUP BY term, n_docs),
+    s AS (SELECT item_row, item_id, row_id, doc_id,
+                 sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT
+                     AS score
+          FROM f JOIN w USING (term) JOIN q USING (term), g GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id NULLS LAST) AS rank
+          FROM s WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 VOCABULARY = "piece_bpe_32k.model"
 
 
