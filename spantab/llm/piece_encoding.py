@@ -44,10 +44,10 @@ from spantab.llm.ordering import packed, unpacked
 
 SPACE = "▁"
 #: Distinct chunks remembered by a task, and the longest chunk that is remembered.
-CACHE = 1 << 20
+CACHE = 1 << 19
 SHORT = 64
-#: Chunks that go through their agendas side by side.
-SIDE_BY_SIDE = 1 << 16
+#: Chunks that are looked up together, and new ones that go through their agendas side by side.
+TOGETHER, SIDE_BY_SIDE = 1 << 17, 1 << 16
 #: Characters of a text that are split into chunks at once.
 SEGMENT = 1 << 20
 NO_PAIR = 1 << 30
@@ -90,7 +90,7 @@ class PieceCoder:
         self.controls = {i for i, p in enumerate(proto.pieces) if p.type == CONTROL}
         self.openers = {i for p, i in self.ids.items() if p[0] == SPACE}
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.doubted: set[str] = set()
         self._pair_tables()
 
@@ -116,8 +116,8 @@ class PieceCoder:
         known = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
         return np.where(known, self.pair_places[at], NO_PAIR), self.pair_wholes[at]
 
-    def merge_side_by_side(self, chunks: Sequence[str]) -> list[list[int]]:
-        """Ids of many non-empty chunks: in each round every chunk merges the first pair of its agenda."""
+    def merge_side_by_side(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many non-empty chunks, and their numbers: every chunk merges the first pair of its agenda per round."""
         points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
         symbols = self.symbol_of[points]
         symbols = np.where(symbols < 0, -1 - points.astype(np.int64), symbols)  # no piece: below zero
@@ -155,23 +155,16 @@ class PieceCoder:
         owners = np.concatenate([o for o, _ in done])
         final = np.concatenate([s for _, s in done])
         order = np.argsort(owners, kind="stable")
-        final = final[order].tolist()
-        out, start = [], 0
-        for stop in np.cumsum(np.bincount(owners, minlength=len(chunks))).tolist():
-            out.append(final[start:stop])
-            start = stop
-        for k in np.unique(owners[order][np.array(final) < 0]).tolist():
-            out[k] = self._with_bytes(out[k])
-        return out
+        final, owners = final[order], owners[order]
+        if final.min() >= 0:
+            return final.astype(np.int32), np.bincount(owners, minlength=len(chunks))
+        pieces = [[i] if i >= 0 else self._bytes_of(chr(-1 - i)) for i in final.tolist()]
+        sizes = np.array([len(p) for p in pieces])
+        counts = np.bincount(owners, weights=sizes, minlength=len(chunks)).astype(np.int64)
+        return np.fromiter(chain.from_iterable(pieces), np.int32, int(sizes.sum())), counts
 
-    def _with_bytes(self, symbols: list[int]) -> list[int]:
-        out = []
-        for symbol in symbols:
-            if symbol >= 0:
-                out.append(symbol)
-            else:
-                out.extend(self.byte_ids[b] for b in chr(-1 - symbol).encode("utf-8", "replace"))
-        return out
+    def _bytes_of(self, symbol: str) -> list[int]:
+        return [self.byte_ids[b] for b in symbol.encode("utf-8", "replace")]
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The symbols left after the agenda of adjacent pairs is worked off."""
@@ -214,10 +207,7 @@ class PieceCoder:
         for start, stop in zip([0, *cuts], [*cuts, len(chunk)]):
             for symbol in self.merge(list(chunk[start:stop])):
                 known = self.ids.get(symbol)
-                if known is not None:
-                    out.append(known)
-                else:
-                    out.extend(self.byte_ids[b] for b in symbol.encode("utf-8", "replace"))
+                out += [known] if known is not None else self._bytes_of(symbol)
         return out
 
     def chunks(self, text: str) -> Iterator[list[str]]:
@@ -243,19 +233,31 @@ class PieceCoder:
         """Put new chunks through the agenda, and beside the library; a chunk begins with the added space."""
         for at in range(0, len(chunks), SIDE_BY_SIDE):
             some = chunks[at : at + SIDE_BY_SIDE]
-            short = [c for c in some if len(c) <= SHORT]
-            some = short + [c for c in some if len(c) > SHORT]
-            found = self.merge_side_by_side(short) if short else []
-            found += [self.long_chunk_ids(c) for c in some[len(short) :]]
-            theirs = self.library.encode([c[1:].replace(SPACE, " ") for c in some], num_threads=1)
-            if found != theirs:
-                self.doubted.update(c for c, ours, other in zip(some, found, theirs) if ours != other)
-                self.doubted.discard(SPACE)  # the library gives an empty text no ids, not even the added space
-            self.cache.update(zip(some, found))
-
-    def encode(self, texts: Sequence[str]) -> tuple[list[list[int]], list[bool]]:
+            short, long = [c for c in some if len(c) <= SHORT], [c for c in some if len(c) > SHORT]
+            if short:
+                self._remember(short, *self.merge_side_by_side(short))
+            if long:
+                found = [self.long_chunk_ids(c) for c in long]
+                counts = np.array([len(f) for f in found])
+                self._remember(long, np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts)
+
+    def _remember(self, chunks: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        stops = np.cumsum(counts)
+        data, places = flat.tobytes(), [0, *(4 * stops).tolist()]
+        self.cache.update((c, data[a:b]) for c, a, b in zip(chunks, places, places[1:]))
+        theirs = self.library.encode([c[1:].replace(SPACE, " ") for c in chunks], num_threads=1)
+        sizes = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        if (sizes == counts).all():
+            other = np.fromiter(chain.from_iterable(theirs), np.int32, len(flat))
+            wrong = np.unique(np.searchsorted(stops, np.flatnonzero(other != flat), side="right")).tolist()
+        else:
+            wrong = [k for k, t in enumerate(theirs) if np.array(t, np.int32).tobytes() != self.cache[chunks[k]]]
+        self.doubted.update(chunks[k] for k in wrong)
+        self.doubted.discard(SPACE)  # the library gives an empty text no ids, not even the added space
+
+    def encode(self, texts: Sequence[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids per text, and whether the library agrees on all its chunks."""
-        out: list[list[int]] = [[] for _ in texts]
+        found: list[list[bytes]] = [[] for _ in texts]
         agrees = [True] * len(texts)
         waiting: list[tuple[int, list[str]]] = []
 
@@ -264,7 +266,7 @@ class PieceCoder:
                 self.cache.clear()
             self.learn(list(set().union(*(listed for _, listed in waiting)).difference(self.cache)))
             for k, listed in waiting:
-                out[k].extend(chain.from_iterable(map(self.cache.__getitem__, listed)))
+                found[k].append(b"".join(map(self.cache.__getitem__, listed)))
                 agrees[k] &= not self.doubted or self.doubted.isdisjoint(listed)
             for _, listed in waiting:
                 for chunk in listed:
@@ -277,11 +279,11 @@ class PieceCoder:
             for listed in self.chunks(text):
                 waiting.append((k, listed))
                 size += len(listed)
-                if size > CACHE:
+                if size > TOGETHER:
                     flush()
                     size = 0
         flush()
-        return out, agrees
+        return [np.frombuffer(b"".join(f), np.int32) for f in found], agrees
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids; the space before the first word goes, and broken byte runs give U+FFFD per byte."""
@@ -335,10 +337,13 @@ def _encoder(model: bytes):
         coder = PieceCoder(model)
         for batch in batches:
             ids, agrees = coder.encode([t or "" for t in batch.to_pylist()])
-            decoded = [coder.decode(i) for i in ids]
-            agrees = [a and d == coder.library.decode(i) for a, d, i in zip(agrees, decoded, ids)]
-            offsets = np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+            decoded = []
+            for k, own in enumerate(ids):
+                listed = own.tolist()
+                decoded.append(coder.decode(listed))
+                agrees[k] = agrees[k] and decoded[k] == coder.library.decode(listed)
+            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *ids])
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.StructArray.from_arrays(
                 [listed, pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], ["ids", "decoded", "agrees"]
