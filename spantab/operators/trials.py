@@ -29,22 +29,27 @@ def trial_grid(params: Mapping[str, Sequence], n_splits: int, experiments: DataF
     return grid.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
 
 
-def evaluate_roles(predicted: DataFrame, fold: int) -> DataFrame:
-    """(fold, set, r2, accuracy, rmse, bounds_accuracy) from columns y, p, lower, upper, role."""
+def evaluate_folds(predicted: DataFrame) -> DataFrame:
+    """(fold, set, r2, accuracy, rmse, bounds_accuracy) from columns y, p, lower, upper, fold, role."""
     y, p = F.col("y").cast("double"), F.col("p")
     rounded = round_half_up(p).cast("double")
     bounded = F.col("set") == "bounded"
-    table = predicted.groupBy(F.col("role").alias("set")).agg(
+    table = predicted.groupBy("fold", F.col("role").alias("set")).agg(
         r2_column(y, rounded).alias("r2"), match_column(y, p).alias("accuracy"),
         rmse_column(y, rounded).alias("rmse"), in_bounds_column("p", "lower", "upper").alias("bounds_accuracy"),
     )
     return table.select(
-        F.lit(fold).alias("fold"), "set",
+        "fold", "set",
         *(F.when(~bounded, F.col(c)).alias(c) for c in ("r2", "accuracy", "rmse")),
         F.when(bounded, F.col("bounds_accuracy")).alias("bounds_accuracy"),
     )
 
 
+def evaluate_roles(predicted: DataFrame, fold: int) -> DataFrame:
+    """:func:`evaluate_folds` of one fold."""
+    return evaluate_folds(predicted.withColumn("fold", F.lit(fold)))
+
+
 def fold_experiment(
     exact: DataFrame, bounded: DataFrame, plan: SplitPlan,
     fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],

@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spantab.operators.cleaning import expand_list, split_exact_bounded
-from spantab.operators.linear import ols_fit, ols_predict
+from spantab.operators.folds import linear_folds
 from spantab.operators.splits import dedup_first, fit_splits
-from spantab.operators.trials import fold_experiment
 from spantab.plans.proxy import NUMERICAL, typed
 from spantab.staging import stage
 
-FEATURES = ("level", "genus")
-
-
 def linear_experiment(spark: SparkSession, sf_dir: str, folds: int = 5) -> DataFrame:
-    """(fold, set, r2, accuracy, rmse, bounds_accuracy) of a linear fit per fold.
+    """(fold, set, r2, accuracy, rmse, bounds_accuracy) of a linear fit on all numerical columns per fold.
 
     The deduplicated rows are written once; splits, fits and evaluation read
     that table, and roles are computed row by row instead of joined.
@@ -29,9 +25,5 @@ def linear_experiment(spark: SparkSession, sf_dir: str, folds: int = 5) -> DataF
     exact_rows = exact_rows.withColumn("y", F.col("lower"))
     plan = fit_splits(exact_rows, "id", n=folds)
 
-    def fit(train: DataFrame):
-        model = ols_fit(train, FEATURES, "y")
-        return lambda r: ols_predict(r, model)
-
-    needed = ["id", *FEATURES, "lower", "upper"]
-    return fold_experiment(exact_rows.select(*needed, "y"), bounded.select(*needed), plan, fit)
+    needed = ["id", *NUMERICAL, "lower", "upper"]
+    return linear_folds(exact_rows.select(*needed, "y"), bounded.select(*needed), plan, NUMERICAL)

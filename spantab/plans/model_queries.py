@@ -10,13 +10,14 @@ from spantab.functions.formula import formula_columns
 from spantab.operators import boosting as B
 from spantab.operators import linear as L
 from spantab.operators import mlp as N
+from spantab.operators.boosted_trees import TreeSettings, tree_folds
 from spantab.operators.candidates import parse_candidates
 from spantab.operators.cleaning import expand_list, is_exact, split_exact_bounded
 from spantab.operators.features import apply_scaler, fit_scaler
-from spantab.operators.metrics import metrics
+from spantab.operators.folds import linear_folds
+from spantab.operators.metrics import fold_average, metrics
 from spantab.operators.splits import fit_splits
 from spantab.operators.trees import gbt_fit, gbt_predict
-from spantab.operators.trials import fold_experiment
 from spantab.plans.proxy import (
     FIXED_COEF,
     FIXED_INTERCEPT,
@@ -28,6 +29,7 @@ from spantab.plans.proxy import (
     typed,
 )
 from spantab.plans.registry import query, r6, settle
+from spantab.plans.split_queries import SPLITS_SQL
 from spantab.staging import staging_path
 
 _TYPED = f"WITH t AS ({TYPED_SQL}) "
@@ -270,18 +272,153 @@ def e12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(metrics(gbt_predict(roles, model), by=["role"]))
 
 
-@query("e13_fold_experiment")
+def _elimination_sql(features: tuple[str, ...]) -> str:
+    """CTEs from ``x0`` to predictions ``p``: least squares per fold by one column after the other.
+
+    Each step takes the projection on a column out of the target and of the later columns.
+    """
+    n = len(features)
+
+    def train(expression: str) -> str:
+        return f"({expression}) FILTER (role = 'train') OVER (PARTITION BY fold)"
+
+    kept = "fold, role, lower, upper, y"
+    centred = ", ".join(f"x{i} - avg{train(f'x{i}')} AS x{i}" for i in range(n))
+    steps = [f"z0 AS (SELECT {kept}, {centred}, avg{train('y')} AS p, y - avg{train('y')} AS e FROM x0)"]
+    for i in range(n):
+        own = f"sum{train(f'x{i} * x{i}')}"
+        share = f"x{i} * sum{train(f'x{i} * e')} / {own}"
+        later = "".join(f", x{j} - x{i} * sum{train(f'x{i} * x{j}')} / {own} AS x{j}" for j in range(i + 1, n))
+        steps.append(f"z{i + 1} AS MATERIALIZED (SELECT {kept}, p + {share} AS p, e - {share} AS e{later} FROM z{i})")
+    return ", ".join(steps)
+
+
+#: Rows of every fold with their role: exact ones by the splits, bounded ones in each.
+_FOLD_ROWS_SQL = (
+    f"WITH a AS ({TYPED_SQL}), t AS (SELECT *, lower AS y FROM a WHERE lower = upper)," + SPLITS_SQL
+    + ", r AS (SELECT fold, role, t.* FROM t JOIN m ON t.id = m.id UNION ALL"
+    " SELECT fold, 'bounded', a.*, NULL FROM a CROSS JOIN (SELECT unnest(range(5)) AS fold) s WHERE lower <> upper), "
+)
+_FOLD_VALUES_SQL = (
+    ", v AS (SELECT fold, role AS set, CASE WHEN role <> 'bounded' THEN"
+    " 1 - sum((y - g) * (y - g)) / (var_pop(y) * count(y)) END AS r2,"
+    " CASE WHEN role <> 'bounded' THEN avg((g = y)::int) END AS accuracy,"
+    " CASE WHEN role <> 'bounded' THEN sqrt(avg((y - g) * (y - g))) END AS rmse,"
+    " CASE WHEN role = 'bounded' THEN avg((g BETWEEN lower AND upper)::int) END AS bounds_accuracy"
+    " FROM g GROUP BY fold, role) "
+)
+_LINEAR_SQL = (
+    "x0 AS (SELECT fold, role, lower, upper, y::double AS y, "
+    + ", ".join(f"coalesce({c}::double, 0) AS x{i}" for i, c in enumerate(NUMERICAL)) + " FROM r), "
+    + _elimination_sql(NUMERICAL) + f", g AS (SELECT *, floor(p + 0.5) AS g FROM z{len(NUMERICAL)})"
+)
+_MEASURES = ("r2", "accuracy", "rmse", "bounds_accuracy")
+
+
+def _fold_measures_sql(predictions: str) -> str:
+    """Measures per fold and set of rows ``g`` with a rounded prediction."""
+    measures = ", ".join(f"{r6(c)} AS {c}" for c in _MEASURES)
+    return f"{_FOLD_ROWS_SQL}{predictions}{_FOLD_VALUES_SQL}SELECT fold::bigint AS fold, set, {measures} FROM v"
+
+
+def _all_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact_rows, bounded = split_exact_bounded(typed(spark, sf_dir))
+    columns = ["id", *NUMERICAL, "lower", "upper"]
+    exact_rows = exact_rows.select(*columns, F.col("lower").alias("y"))
+    plan = fit_splits(exact_rows, "id", n=5)
+    return linear_folds(exact_rows, bounded.select(*columns), plan, NUMERICAL)
+
+
+@query("e13_fold_experiment", _fold_measures_sql(_LINEAR_SQL))
 def e13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(_all_folds(spark, sf_dir))
+
+
+@query(
+    "e13_fold_average",
+    _FOLD_ROWS_SQL + _LINEAR_SQL + _FOLD_VALUES_SQL + "SELECT set, " + ", ".join(f"{r6(f'avg({c})')} AS {c}" for c in _MEASURES) + " FROM v GROUP BY set",
+)
+def e13_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(fold_average(_all_folds(spark, sf_dir)))
+
+
+#: Declared parameters of the histogram trees.
+STUMPS = TreeSettings(trees=4, depth=1, rate=0.3, bins=32)
+PAIRS = TreeSettings(trees=3, depth=2, rate=0.3, bins=32)
+
+
+def _trees_sql(settings: TreeSettings) -> str:
+    """Rows ``g`` with the rounded predictions of boosted trees, level by level."""
+    n, bins = len(NUMERICAL), settings.bins
+    own = [f"coalesce({c}::double, 0)" for c in NUMERICAL]
+    first = f"(k * {bins} + n - 1) // n"
+    cuts = ", ".join(
+        f"c{i} AS (SELECT list_sort(list(DISTINCT v) FILTER (v > low)) AS c FROM (SELECT {x} AS v,"
+        f" row_number() OVER (ORDER BY {x}) - 1 AS k, count(*) OVER () AS n, min({x}) OVER () AS low FROM t)"
+        f" WHERE {first} < {bins} AND {first} * n // {bins} = k)" for i, x in enumerate(own)
+    )
+    binned = ", ".join(f"len(list_filter((SELECT c FROM c{i}), lambda v: v <= {x}))" for i, x in enumerate(own))
+    start = "avg(y) FILTER (role = 'train') OVER (PARTITION BY fold)"
+    parts = [cuts, f"z AS MATERIALIZED (SELECT id, fold, role, lower, upper, y, [{binned}] AS b, {start} AS p FROM r)"]
+    rows = "z"
+    for k in range(settings.trees):
+        drawn = ", ".join(str(i) for i in settings.columns(NUMERICAL, k))
+        sampled = f"role = 'train' AND substr(md5('{settings.row_seed(k)}:' || id), 1, 8) < '{settings.row_limit()}'"
+        state, extra = rows, "0 AS node, 0.0::double AS w"
+        for level in range(settings.depth + 1):
+            at, open_ = f"{k}_{level}", 2**level - 1
+            parts.append(f"q{at} AS MATERIALIZED (SELECT *, {extra} FROM {state})")
+            at_level = f"q{at} WHERE {sampled} AND node >= {open_}"
+            if level == settings.depth:
+                parts.append(f"s{at} AS (SELECT fold, node, sum(p - y) AS g, count(*) AS h, NULL AS f, NULL AS cut"
+                             f" FROM {at_level} GROUP BY fold, node)")
+            else:
+                score = "({g}) * ({g}) / ({h} + " + f"{settings.penalty}::double)"
+                gain = " + ".join([score.format(g="gl", h="hl"), score.format(g="g - gl", h="h - hl")])
+                least = settings.min_curvature
+                parts += [
+                    f"h{at} AS (SELECT fold, node, f, b[f + 1] AS bin, sum(p - y) AS g, count(*) AS h FROM"
+                    f" (SELECT *, unnest([{drawn}]) AS f FROM {at_level}) GROUP BY ALL)",
+                    f"l{at} AS (SELECT fold, node, f, bin, coalesce(sum(g) OVER e, 0) AS gl, coalesce(sum(h) OVER e, 0) AS hl,"
+                    f" sum(g) OVER a AS g, sum(h) OVER a AS h FROM h{at} WINDOW a AS (PARTITION BY fold, node, f),"
+                    " e AS (PARTITION BY fold, node, f ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+                    f"n{at} AS (SELECT *, CASE WHEN hl >= {least} AND h - hl >= {least} AND gain > {settings.min_gain}"
+                    f" THEN gain END AS kept FROM (SELECT *, round(({gain} - {score.format(g='g', h='h')}) / 2, 6) AS gain"
+                    f" FROM l{at}))",
+                    f"s{at} AS (SELECT fold, node, g, h, CASE WHEN kept IS NOT NULL THEN f END AS f,"
+                    f" CASE WHEN kept IS NOT NULL THEN bin END AS cut FROM n{at} QUALIFY row_number() OVER"
+                    " (PARTITION BY fold, node ORDER BY kept DESC NULLS LAST, f, bin) = 1)",
+                ]
+            leaf = f"-s.g / (s.h + {settings.penalty}::double)"
+            state = (
+                f"(SELECT q.* REPLACE (CASE WHEN s.f IS NOT NULL THEN 2 * q.node + 1 + (q.b[s.f + 1] >= s.cut)::int"
+                f" ELSE q.node END AS node, CASE WHEN s.f IS NOT NULL THEN 0 WHEN s.h IS NOT NULL THEN {leaf} ELSE w END AS w)"
+                f" FROM q{at} q LEFT JOIN s{at} s ON q.fold = s.fold AND q.node = s.node)"
+            )
+            extra = "1 AS _"
+            state = state.replace("q.* REPLACE", "q.* EXCLUDE (_) REPLACE") if level else state
+        parts.append(f"z{k} AS MATERIALIZED (SELECT id, fold, role, lower, upper, y, b, p + {settings.rate}::double * w AS p"
+                     f" FROM {state})")
+        rows = f"z{k}"
+    return ", ".join([*parts, f"g AS (SELECT *, floor(p + 0.5) AS g FROM {rows})"])
+
+
+def _tree_folds(spark: SparkSession, sf_dir: str, settings: TreeSettings) -> DataFrame:
     exact_rows, bounded = split_exact_bounded(typed(spark, sf_dir))
     columns = ["id", *NUMERICAL, "lower", "upper"]
     exact_rows = exact_rows.select(*columns, F.col("lower").alias("y"))
     plan = fit_splits(exact_rows, "id", n=5)
+    return settle(tree_folds(exact_rows, bounded.select(*columns), plan, NUMERICAL, settings))
+
+
+@query("e12_histogram_stumps", _fold_measures_sql(_trees_sql(STUMPS)))
+def e12_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree_folds(spark, sf_dir, STUMPS)
 
-    def fit(train: DataFrame):
-        model = L.ols_fit(train.fillna(0.0), NUMERICAL, "y")
-        return lambda rows: L.ols_predict(rows, model)
 
-    return settle(fold_experiment(exact_rows, bounded.select(*columns), plan, fit))
+@query("e12_histogram_trees", _fold_measures_sql(_trees_sql(PAIRS)))
+def e12_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree_folds(spark, sf_dir, PAIRS)
 
 
 _WEIGHTS = N.Network((2, 2, 1), np.array([0.5, -0.25, 0.1, 0.2, 0.3, -0.4, 0.7, -0.6, 0.05]), 0.01)
