@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +20,11 @@ from spantab.staging import held
 
 SQL_SUM_COLUMNS = 20  # up to here sums of products stay in one code-generated aggregate
 SQL_PREDICT_COLUMNS = 50  # up to here a prediction is a plain expression
-MIN_TASKS = 2048  # tasks are not merged below this number, however few slots are registered yet
-DIRECT_BYTES = 1 << 26  # partial vectors beyond this total size are added in a second level
-SECOND_LEVEL = 64  # vectors that then reach the driver
+GROUPS = 64  # groups of tasks whose vectors are merged before the driver sees one of each
 RANK_TOLERANCE = 1e-11
+# Singular values below this share of the largest one span no direction.
+TRIANGLE_TOLERANCE = 1e-12
+BLOCK_ROWS = 4096
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -31,39 +33,50 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float, copy=False)
 
 
+def task_vector(vector: np.ndarray) -> pa.RecordBatch:
+    """One task's result, under its partition number."""
+    values = pa.ListArray.from_arrays(pa.array([0, len(vector)], pa.int32()), pa.array(vector))
+    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), values], ["task", "v"])
+
+
+def combined(vectors: DataFrame, merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The vectors of all tasks (task, v), merged two at a time: within groups of tasks, then over the groups.
+
+    Groups share partitions while they are small, so the second level is one
+    short task for a small cluster's vectors and up to ``GROUPS`` for many.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for vector in batch.column("v"):
+                found = vector.values.to_numpy()
+                total = found if total is None else merge(total, found)
+        if total is not None:
+            yield task_vector(total)
+
+    grouped = vectors.repartition(F.pmod("task", F.lit(GROUPS))).mapInArrow(fold, "task int, v array<double>")
+    rows = sorted(grouped.collect(), key=lambda r: r["task"])
+    return reduce(merge, (np.asarray(r["v"]) for r in rows)) if rows else None
+
+
 def partial_sums(df: DataFrame, inputs: Sequence[Column], kernel: Kernel, length: int) -> np.ndarray:
     """Sum over all rows of an additive kernel that maps a row block to ``length`` numbers.
 
-    Each task streams its rows and emits one vector. Partitions are merged,
-    without a shuffle, to a multiple of the cluster's slots, so the number of
-    vectors does not grow with the data. When they could exceed
-    ``DIRECT_BYTES``, a second level adds them up and the driver gets
-    ``SECOND_LEVEL`` of them.
+    Each task streams its rows and emits one vector; these are added up in two
+    levels, and the driver gets at most ``GROUPS`` of them.
     """
-    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, MIN_TASKS)
-
-    def emit(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
 
     def over_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(length)
         for batch in batches:
             if batch.num_rows:
                 total += kernel(_matrix(batch))
-        yield from emit(total)
-
-    def over_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(length)
-        for batch in batches:
-            for vector in batch.columns[0]:
-                total += np.asarray(vector.as_py())
-        yield from emit(total)
+        yield task_vector(total)
 
     named = df.select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(inputs)))
-    vectors = named.coalesce(tasks).mapInArrow(over_rows, "v array<double>")
-    if tasks * length * 8 > DIRECT_BYTES:
-        vectors = vectors.repartition(SECOND_LEVEL).mapInArrow(over_vectors, "v array<double>")
-    return reduce(lambda a, r: a + np.asarray(r["v"]), vectors.collect(), np.zeros(length))
+    found = combined(named.mapInArrow(over_rows, "task int, v array<double>"), np.add)
+    return np.zeros(length) if found is None else found
 
 
 def product_sums(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
@@ -120,44 +133,12 @@ def moments_from(count: float, sums: np.ndarray, squares: np.ndarray) -> tuple[n
     return mean, np.where(spread > 1e-9 * np.maximum(np.abs(mean), 1e-300), spread, 1.0)
 
 
-def column_moments(df: DataFrame, columns: Sequence[Column]) -> Moments:
-    """Two aggregations: rough moments, then products of the standardised columns."""
-    named = df.select(*(F.coalesce(c.cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(columns)))
-    terms = [F.col(f"c{i}") for i in range(len(columns))]
-    (row,) = named.agg(
-        F.count(F.lit(1)).alias("n"), *(F.avg(t).alias(f"m{i}") for i, t in enumerate(terms)),
-        *(F.stddev_pop(t).alias(f"s{i}") for i, t in enumerate(terms)),
-    ).collect()
-    mean = np.array([row[f"m{i}"] or 0.0 for i in range(len(terms))], dtype=float)
-    spread = np.array([row[f"s{i}"] or 0.0 for i in range(len(terms))], dtype=float)
-    scale = np.where(spread > 1e-9 * np.maximum(np.abs(mean), 1e-300), spread, 1.0)
-    if not (np.isfinite(mean).all() and np.isfinite(spread).all()):
-        return Moments(row["n"], mean, spread, np.full((len(terms), len(terms)), np.nan))
-    standard = [(t - F.lit(float(m))) / F.lit(float(s)) for t, m, s in zip(terms, mean, scale)]
-    return _finish(mean, scale, product_sums(named, standard))
-
-
 def _finish(mean: np.ndarray, scale: np.ndarray, sums: np.ndarray) -> Moments:
     n = sums[0, 0]
     shift = sums[0, 1:] / max(n, 1.0)
     return Moments(n, mean + shift * scale, scale, sums[1:, 1:] / max(n, 1.0) - np.outer(shift, shift))
 
 
-def kernel_moments(df: DataFrame, inputs: Sequence[Column], expand: Kernel, width: int) -> Moments:
-    """Moments of the columns an expansion makes of the inputs, for wide designs."""
-
-    def rough(raw: np.ndarray) -> np.ndarray:
-        x = expand(raw)
-        return np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)])
-
-    first = partial_sums(df, inputs, rough, 2 * width + 1)
-    mean, scale = moments_from(first[0], first[1 : width + 1], first[width + 1 :])
-    if not (np.isfinite(mean).all() and np.isfinite(scale).all()):
-        return Moments(first[0], mean, scale, np.full((width, width), np.nan))
-    sums = partial_sums(df, inputs, lambda raw: _products((expand(raw) - mean) / scale).ravel(), (width + 1) ** 2)
-    return _finish(mean, scale, sums.reshape(width + 1, width + 1))
-
-
 @dataclass(frozen=True)
 class LinearModel:
     names: tuple[str, ...]
@@ -194,17 +175,89 @@ def labelled(df: DataFrame, target: str) -> DataFrame:
     return df.filter(y.isNotNull() & ~F.isnan(y))
 
 
+def _triangle(blocks: Sequence[np.ndarray], width: int) -> np.ndarray:
+    """The square triangle of stacked blocks."""
+    r = np.linalg.qr(np.concatenate(blocks), mode="r") if blocks else np.zeros((0, width))
+    return np.concatenate([r, np.zeros((width - len(r), width))])
+
+
+def tall_triangle(df: DataFrame, inputs: Sequence[Column], expand: Kernel, width: int) -> np.ndarray:
+    """R of the matrix of ``width`` columns that ``expand`` makes of the inputs of all rows.
+
+    A task turns its rows into one triangle with RᵀR = MᵀM by orthogonal steps,
+    block by block; triangles are stacked and factored again, two at a time.
+    Sums of products are never formed, so the condition of M is not squared.
+    """
+
+    def over_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                waiting.append(expand(np.column_stack(columns).astype(float, copy=False)))
+                rows += batch.num_rows
+                if rows >= max(BLOCK_ROWS, 4 * width):
+                    waiting, rows = [_triangle(waiting, width)], 0
+        yield task_vector(_triangle(waiting, width).ravel())
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _triangle([a.reshape(width, width), b.reshape(width, width)], width).ravel()
+
+    named = df.select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(inputs)))
+    found = combined(named.mapInArrow(over_rows, "task int, v array<double>"), merge)
+    return np.zeros((width, width)) if found is None else found.reshape(width, width)
+
+
+def rough_moments(df: DataFrame, inputs: Sequence[Column], expand: Kernel, width: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, means and scales of the columns that ``expand`` makes of the inputs."""
+
+    def sums(raw: np.ndarray) -> np.ndarray:
+        x = expand(raw)
+        return np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)])
+
+    found = partial_sums(df, inputs, sums, 2 * width + 1)
+    mean, scale = moments_from(found[0], found[1 : width + 1], found[width + 1 :])
+    return float(found[0]), mean, scale
+
+
+def solve_triangle(r: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """(coefficients, intercept) of the last column on the others, from R of constant and standardised columns.
+
+    Directions below the tolerance are left out; of all equally good solutions
+    the one of least norm in the unscaled coefficients is returned.
+    """
+    p = len(mean) - 1
+    if not p or not r[0, 0]:
+        return np.zeros(p), float(mean[p])
+    left, values, vectors = np.linalg.svd(r[1 : p + 1, 1 : p + 1])
+    kept = values > TRIANGLE_TOLERANCE * max(values.max(initial=0.0), 1e-300)
+    scaled = vectors[kept].T @ ((left[:, kept].T @ r[1 : p + 1, p + 1]) / values[kept])
+    coef = scaled * scale[p] / scale[:p]
+    if not kept.all():
+        basis, _ = np.linalg.qr(vectors[~kept].T / scale[:p, None])
+        coef = coef - basis @ (basis.T @ coef)
+    # The means are rough; the constant's row of R holds what is left of them.
+    shift = r[0, 1:] / r[0, 0] * scale
+    exact = mean + shift
+    return coef, float(exact[p] - coef @ exact[:p])
+
+
 def ols_fit(df: DataFrame, features: Sequence[str], target: str) -> LinearModel:
-    """Least squares with intercept over the rows with a target; a non-finite feature value gives the mean-only model."""
+    """Least squares with intercept over the rows with a target; a non-finite feature value gives the mean-only model.
+
+    Two scans: rough moments, then the triangle of the standardised columns.
+    """
     p = len(features)
-    df = labelled(df, target)
     named = [_quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate([*features, target])]
-    with held(df, named) as data:
-        moments = column_moments(data, [F.col(f"c{i}") for i in range(p + 1)])
-    if not np.isfinite(moments.cov[:p, :p]).all():
-        mean = float(df.agg(F.avg(_quoted(target).cast("double"))).first()[0] or 0.0)
-        return LinearModel(tuple(features), np.zeros(p), mean)
-    coef, intercept = solve(moments, range(p), p)
+    inputs = [F.col(f"c{i}") for i in range(p + 1)]
+    with held(labelled(df, target), named) as data:
+        _, mean, scale = rough_moments(data, inputs, lambda raw: raw, p + 1)
+        if not (np.isfinite(mean[:p]).all() and np.isfinite(scale[:p]).all()):
+            return LinearModel(tuple(features), np.zeros(p), float(mean[p]))
+        r = tall_triangle(
+            data, inputs, lambda raw: np.column_stack([np.ones(len(raw)), (raw - mean) / scale]), p + 2
+        )
+    coef, intercept = solve_triangle(r, mean, scale)
     return LinearModel(tuple(features), coef, intercept)
 
 

@@ -13,7 +13,7 @@ from spantab.operators import mlp as N
 from spantab.operators.boosted_trees import TreeSettings, tree_folds
 from spantab.operators.candidates import parse_candidates
 from spantab.operators.cleaning import expand_list, is_exact, split_exact_bounded
-from spantab.operators.features import apply_scaler, fit_scaler
+from spantab.operators.features import apply_scaler, exponents, fit_scaler
 from spantab.operators.folds import linear_folds
 from spantab.operators.metrics import fold_average, metrics
 from spantab.operators.splits import fit_splits
@@ -63,6 +63,27 @@ def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(spark.createDataFrame(rows, "name string, value double"))
 
 
+#: Two columns that agree to about five digits.
+CLOSE = 1e-4
+
+
+@query(
+    "e2_near_collinear",
+    _EXACT + ", c AS (SELECT covar_pop(level, genus) AS lg, var_pop(level) AS ll, var_pop(genus) AS gg,"
+    " covar_pop(level, y) AS ly, covar_pop(genus, y) AS gy, avg(level) AS l, avg(genus) AS g, avg(y) AS m FROM t),"
+    " b AS (SELECT *, (ly * gg - gy * lg) / (ll * gg - lg * lg) AS bl, (gy * ll - ly * lg) / (ll * gg - lg * lg) AS bg FROM c)"
+    f" SELECT 'both' AS name, {r6('bl')} AS value FROM b UNION ALL SELECT 'between', {r6('bg')} FROM b"
+    f" UNION ALL SELECT 'intercept', {r6('m - bl * l - bg * g')} FROM b",
+)
+def e2_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of level and of level plus a trace of genus, stated as those of level and genus."""
+    rows = exact(spark, sf_dir).select("y", "level", (F.col("level") + F.lit(CLOSE) * F.col("genus")).alias("near"))
+    model = L.ols_fit(rows, ["level", "near"], "y")
+    level, near = map(float, model.coef)
+    values = [("both", level + near), ("between", CLOSE * near), ("intercept", model.intercept)]
+    return settle(spark.createDataFrame(values, "name string, value double"))
+
+
 def _fixed_linear() -> L.LinearModel:
     names = (*FIXED_COEF, "log_conductor")
     return L.LinearModel(names, np.array([*FIXED_COEF.values(), 0.25]), FIXED_INTERCEPT)
@@ -164,6 +185,67 @@ def e6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Candidates of the cubic query: name, formula, the same in SQL. The last one is a monomial of the base.
+CUBIC_CANDIDATES = (
+    ("sevenths", "row['level'] // 7", "floor(level / 7.0::double)"),
+    ("logs", "log(row['level'])", "ln(level::double)"),
+    ("ratio", "row['cusps'] / (row['genus'] + 1)", "cusps::double / (genus + 1)"),
+    ("fours", "row['level'] % 4 + row['genus'] // 2", "level % 4 + floor(genus / 2.0::double)"),
+    ("roots", "sqrt(row['coarse_class_num'] + 1)", "sqrt(coarse_class_num + 1.0::double)"),
+    ("half", "max(row['genus'], 4) * min(row['level'], 20)", "(greatest(genus, 4) * least(level, 20))::double"),
+    ("spanned", "row['level'] * row['genus']", "(level * genus)::double"),
+)
+
+
+def _cubic_sql() -> str:
+    """Rows ``w`` of the exact rows with target y, cubic prediction p and each candidate's rest e0, e1, ...
+
+    Normal equations of the monomials of standardised base columns, solved by Gauss-Jordan steps over (i, j, v).
+    """
+    powers = [(0,) * len(NUMERICAL), *exponents(len(NUMERICAL), 3)]
+    n, m = len(powers), len(CUBIC_CANDIDATES)
+    base = [f"coalesce({c}::double, 0)" for c in NUMERICAL]
+    standard = ", ".join(f"({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER () AS u{i}" for i, x in enumerate(base))
+    made = ", ".join(f"{sql} AS z{j}" for j, (_, _, sql) in enumerate(CUBIC_CANDIDATES))
+    monomial = ", ".join(" * ".join(["1.0::double", *(f"u{i}" for i, e in enumerate(p) for _ in range(e))]) for p in powers)
+    columns = [*(f"x[{i + 1}]" for i in range(n)), *(f"z{j}" for j in range(m)), "y"]
+    sums = ", ".join(f"sum({columns[i]} * {columns[j]})" for i in range(n) for j in range(len(columns)))
+    width = len(columns)
+    dots = ", ".join(
+        [f"list_dot_product(x, (SELECT b FROM c WHERE j = {n + m})) AS p"]
+        + [f"z{j} - list_dot_product(x, (SELECT b FROM c WHERE j = {n + j})) AS e{j}" for j in range(m)]
+    )
+    return (
+        f", u AS (SELECT y::double AS y, {standard}, {made} FROM t),"
+        f" x AS MATERIALIZED (SELECT *, [{monomial}] AS x FROM u),"
+        f" s AS MATERIALIZED (SELECT unnest([{sums}]) AS v, unnest(range({n * width})) AS k FROM x),"
+        f" g AS (WITH RECURSIVE r(step, i, j, v) AS (SELECT 0, k // {width}, k % {width}, v FROM s UNION ALL"
+        " SELECT a.step + 1, a.i, a.j, CASE WHEN a.i = a.step THEN a.v / p.v ELSE a.v - c.v * b.v / p.v END"
+        " FROM r a JOIN r p ON p.i = a.step AND p.j = a.step JOIN r b ON b.i = a.step AND b.j = a.j"
+        f" JOIN r c ON c.j = a.step AND c.i = a.i WHERE a.step < {n}) SELECT i, j, v FROM r WHERE step = {n} AND j >= {n}),"
+        " c AS (SELECT j, list(v ORDER BY i) AS b FROM g GROUP BY j),"
+        f" w AS MATERIALIZED (SELECT y, {dots}, {', '.join(f'z{j}' for j in range(m))} FROM x) "
+    )
+
+
+@query(
+    "e6_score_cubic",
+    _EXACT + _cubic_sql() + " UNION ALL ".join(
+        f"SELECT {j}::bigint AS seq, '{name}' AS name, {r6('slope')} AS slope,"
+        f" {r6(f'avg((floor(p + slope * e{j} + centre + 0.5) = y)::int) * 100')} AS accuracy"
+        f" FROM w, (SELECT sum(e{j} * (y - p)) / sum(e{j} * e{j}) AS slope, avg(y - p) AS centre FROM w) GROUP BY slope"
+        for j, (name, _, _) in enumerate(CUBIC_CANDIDATES) if name != "spanned"
+    ),
+)
+def e6_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates on the cubic design of all base columns; one that the design spans gets no score."""
+    rows = exact(spark, sf_dir)
+    model = B.fit_initial(rows, list(NUMERICAL), "y", degree=3)
+    listed = [(j, name, body) for j, (name, body, _) in enumerate(CUBIC_CANDIDATES)]
+    batch = spark.createDataFrame(listed, "seq bigint, name string, body string")
+    return settle(B.score_candidates(rows, model, batch, "y").select("seq", "name", "slope", "accuracy"))
+
+
 @query(
     "e7_select_candidate",
     f"SELECT p_partkey AS seq, p_name AS name, {r6('p_size')} AS accuracy FROM part WHERE p_size >= 20 + 0.01"
@@ -217,6 +299,25 @@ def e9_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(B.coefficients(B.fit_initial(exact(spark, sf_dir), list(NUMERICAL), "y", degree=3), spark))
 
 
+@query(
+    "e9_cubic_fit",
+    _EXACT + _cubic_sql() + f"SELECT count(*)::bigint AS n, {r6('avg((y - p) * (y - p))')} AS error,"
+    f" {r6('avg((floor(p + 0.5) = y)::int) * 100')} AS accuracy, 0::bigint AS slanted FROM w",
+)
+def e9_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean squared error of the cubic fit, and the number of design columns that its residual still leans on."""
+    rows = exact(spark, sf_dir)
+    model = B.fit_initial(rows, list(NUMERICAL), "y", degree=3)
+    scored = B.boosted_predict(rows, model).withColumn("r", F.col("y") - F.col("p"))
+    ready, columns = model.design.columns(scored)
+    found = ready.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("r") * F.col("r")).alias("error"),
+        (F.avg((F.floor(F.col("p") + 0.5) == F.col("y")).cast("double")) * 100).alias("accuracy"),
+        sum((F.when(F.abs(F.corr(c, "r")) > 1e-6, 1).otherwise(0) for c in columns), F.lit(0)).alias("slanted"),
+    )
+    return settle(found)
+
+
 def candidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses spelled from part rows, parsed into a candidates table."""
     kinds = F.array(

@@ -70,8 +70,6 @@ def test_wide_and_narrow_sums_agree(frame, monkeypatch):
     narrow = L.product_sums(frame, columns)
     monkeypatch.setattr(L, "SQL_SUM_COLUMNS", 0)
     np.testing.assert_allclose(L.product_sums(frame, columns), narrow)
-    monkeypatch.setattr(L, "DIRECT_BYTES", 0)
-    np.testing.assert_allclose(L.product_sums(frame, columns), narrow)
 
 
 def test_cubic_base_equals_direct_predictions(frame, numbers):
