@@ -16,6 +16,8 @@ from spantab.operators.cleaning import expand_list, is_exact, split_exact_bounde
 from spantab.operators.features import apply_scaler, exponents, fit_scaler
 from spantab.operators.folds import linear_folds
 from spantab.operators.metrics import fold_average, metrics
+from spantab.operators.minibatch import PRIME, BatchFit, epoch_factors, fit_minibatches
+from spantab.operators.runlog import best_epoch, new_best_flags, ordered_log
 from spantab.operators.splits import fit_splits
 from spantab.operators.trees import gbt_fit, gbt_predict
 from spantab.plans.proxy import (
@@ -28,7 +30,7 @@ from spantab.plans.proxy import (
     table,
     typed,
 )
-from spantab.plans.registry import query, r6, settle
+from spantab.plans.registry import big, query, r6, settle
 from spantab.plans.split_queries import SPLITS_SQL
 from spantab.staging import staging_path
 
@@ -565,3 +567,96 @@ def e17(spark: SparkSession, sf_dir: str) -> DataFrame:
     warm = N.mlp_fit(rows.filter(is_exact()), NUMERICAL, "lower", HIDDEN, WARM_EPOCHS, rate=0.01)
     fit = N.interval_fit(rows, NUMERICAL, "lower", "upper", epochs=WARM_EPOCHS, rate=0.01, start=warm.network)
     return _loss_table(spark, fit.losses)
+
+
+#: Declared parameters of the mini-batch queries: networks without hidden layers, so that SQL can take their steps.
+BATCHES, BATCH_EPOCHS, BATCH_RATE, BATCH_FOLDS, BATCH_SEED = 4, 3, 0.02, 2, 42
+
+
+def _batch_start() -> N.Network:
+    return N.new_network(len(NUMERICAL), (), seed=BATCH_SEED, final_activation=False)
+
+
+def _batch_fit(spark: SparkSession, sf_dir: str, targets: tuple[str, ...], loss: N.Loss) -> BatchFit:
+    """Exact rows for a point target, all rows for an interval; splits are drawn from the rows that take part."""
+    rows = typed(spark, sf_dir).select("id", *NUMERICAL, "lower", "upper", "q_gonality_bounds")
+    rows = apply_scaler(rows, fit_scaler(rows, NUMERICAL)).fillna(0.0, list(NUMERICAL))
+    rows = rows.filter(is_exact()) if len(targets) == 1 else rows
+    plan = fit_splits(rows, "id", n=BATCH_FOLDS)
+    return fit_minibatches(
+        rows, NUMERICAL, targets, plan, _batch_start(), BATCHES, BATCH_EPOCHS, BATCH_RATE, "SGD", BATCH_SEED, loss
+    )
+
+
+def _batch_sql(interval: bool) -> str:
+    """CTE ``g`` (fold, epoch, role, n, loss, accuracy), one CTE per step."""
+    n = len(NUMERICAL)
+    weights = _batch_start().weights
+    scaled = ", ".join(
+        f"coalesce(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 0) AS x{i}" for i, c in enumerate(NUMERICAL)
+    )
+    p = " + ".join([*(f"w{i} * x{i}" for i in range(n)), f"w{n}"])
+    slope = "2 * (greatest(p - upper, 0) - greatest(lower - p, 0))"
+    value = "greatest(p - upper, 0) ** 2 + greatest(lower - p, 0) ** 2"
+    start = ", ".join(f"{w!r}::double AS w{i}" for i, w in enumerate(map(float, weights)))
+    folds = f"(SELECT unnest(range({BATCH_FOLDS})) AS fold)"
+    splits = SPLITS_SQL.replace("range(5)", f"range({BATCH_FOLDS})")
+    parts = [
+        f"WITH a AS ({TYPED_SQL}), b AS (SELECT id, lower, upper, {scaled} FROM a),"
+        f" t AS (SELECT * FROM b {'' if interval else 'WHERE lower = upper'}), {splits}",
+        "d AS MATERIALIZED (SELECT t.*, fold, role, ('0x' || substr(md5('"
+        f"{BATCH_SEED}:' || t.id), 1, 8))::bigint % {PRIME} AS h FROM t JOIN m ON t.id = m.id)",
+        f"s0 AS (SELECT fold, {start} FROM {folds})",
+    ]
+    state, at, logs = "s0", 0, []
+    for epoch in range(BATCH_EPOCHS + 1):
+        factor, shift = epoch_factors(BATCH_SEED, epoch)
+        for batch in range(BATCHES if epoch else 0):
+            at += 1
+            dealt = f"floor((h * {factor} + {shift}) % {PRIME} * {BATCHES} / {PRIME}::double) = {batch}"
+            steps = ", ".join(
+                f"any_value(w{i}) - {BATCH_RATE}::double * avg({slope}{f' * x{i}' if i < n else ''}) AS w{i}" for i in range(n + 1)
+            )
+            parts.append(
+                f"s{at} AS MATERIALIZED (SELECT fold, {steps} FROM (SELECT *, {p} AS p FROM d JOIN {state} USING (fold)"
+                f" WHERE role = 'train' AND {dealt}) GROUP BY fold)"
+            )
+            state = f"s{at}"
+        logs.append(
+            f"SELECT fold, {epoch} AS epoch, role, count(*) AS n, avg({value}) AS loss,"
+            f" avg((floor(p + 0.5) BETWEEN lower AND upper)::int) AS accuracy"
+            f" FROM (SELECT *, {p} AS p FROM d JOIN {state} USING (fold)) GROUP BY fold, role"
+        )
+    return ", ".join([*parts, f"g AS MATERIALIZED ({' UNION ALL '.join(logs)}) "])
+
+
+_LOG_SQL = f"SELECT {big('fold')} AS fold, {big('epoch')} AS epoch, role, {big('n')} AS n, {r6('loss')} AS loss, {r6('accuracy')} AS accuracy FROM g"
+
+
+@query("e16_minibatch_log", _batch_sql(False) + _LOG_SQL)
+def e16_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of mini-batch steps to a point target."""
+    return settle(_batch_fit(spark, sf_dir, ("lower",), N.squared_loss).log)
+
+
+@query("e17_minibatch_log", _batch_sql(True) + _LOG_SQL)
+def e17_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of mini-batch steps to interval targets."""
+    return settle(_batch_fit(spark, sf_dir, ("lower", "upper"), N.interval_squared_loss).log)
+
+
+@query(
+    "e16_best_epoch",
+    _batch_sql(False) + ", gv AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY epoch) AS place FROM g WHERE role = 'valid'),"
+    " gf AS (SELECT *, place = 1 OR loss < min(loss) OVER (PARTITION BY fold ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING"
+    " AND 1 PRECEDING) AS is_best FROM gv)"
+    f" SELECT {big('fold')} AS fold, {big('count(*)')} AS epochs, {big('sum(is_best::int)')} AS improved,"
+    f" {big('min_by(place, (-accuracy, place))')} AS best_epoch, {r6('max(accuracy)')} AS best_accuracy FROM gf GROUP BY fold",
+)
+def e16_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New best flags and best epoch of every fold, read from the log of its fit."""
+    log = _batch_fit(spark, sf_dir, ("lower",), N.squared_loss).log.filter("role = 'valid'")
+    ordered = ordered_log(log.withColumnRenamed("epoch", "at"), "fold", "at")
+    flags = new_best_flags(ordered, "loss")
+    improved = flags.groupBy("fold").agg(F.count(F.lit(1)).alias("epochs"), F.count_if("is_best").alias("improved"))
+    return settle(improved.join(best_epoch(ordered, "accuracy"), "fold"))
