@@ -36,9 +36,14 @@ def as_names(names: str | Iterable[str] | None) -> list[str]:
     return [names] if isinstance(names, str) else [n for n in names if n is not None]
 
 
+def normalised_names(names: Sequence[str]) -> list[str]:
+    """Names without outer whitespace, inner whitespace collapsed to one blank."""
+    return [re.sub(r"\s+", " ", c.strip()) for c in names]
+
+
 def normalise_headers(df: DataFrame) -> DataFrame:
     """Strip column names and collapse inner whitespace to one blank."""
-    return df.toDF(*(re.sub(r"\s+", " ", c.strip()) for c in df.columns))
+    return df.toDF(*normalised_names(df.columns))
 
 
 def trim_strings(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from spantab.functions.formula import formula_columns
 from spantab.operators import boosting as B
 from spantab.operators import linear as L
 from spantab.operators import mlp as N
+from spantab.operators.boost_state import durable_boost
 from spantab.operators.boosted_trees import TreeSettings, tree_folds
 from spantab.operators.candidates import parse_candidates
 from spantab.operators.cleaning import expand_list, is_exact, split_exact_bounded
@@ -346,6 +347,76 @@ def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(spark.createDataFrame(progress, "iteration bigint, boosting_accuracy double"))
 
 
+#: Declared parameters of the resumed run: one base column, one candidate a round, stopped after half of the rounds.
+SEQUENCE_ROUNDS, SEQUENCE_STOP = 16, 9
+
+
+def _sequence_sql() -> str:
+    """CTE ``g`` (place, accuracy): the base model and every scored round, one candidate after the other.
+
+    ``e`` columns are the accepted candidates' rests, orthogonal to the design before them.
+    """
+    z = (
+        "CASE kind WHEN 1 THEN floor(level / x) WHEN 2 THEN floor(genus / 2.0::double) + ln(level + x)"
+        " WHEN 3 THEN cusps::double / (genus + x) WHEN 4 THEN CASE WHEN genus > 2 THEN sqrt(level * x) ELSE cusps END END"
+    )
+    parts = [
+        "k AS (SELECT *, row_number() OVER (PARTITION BY kind, x ORDER BY p_partkey) = 1 AS is_new FROM (SELECT p_partkey,"
+        " p_partkey % 5 AS kind, p_size::double AS x FROM part ORDER BY p_partkey LIMIT " + str(SEQUENCE_ROUNDS) + ")),"
+        " c AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS i, sum(is_new::int) OVER (ORDER BY p_partkey) AS drawn FROM k)",
+        "b AS (SELECT regr_slope(y, genus) AS s, regr_intercept(y, genus) AS i, avg(genus) AS g FROM t)",
+        "r0 AS MATERIALIZED (SELECT level, genus, cusps, y, genus - g AS d, s * genus + b.i AS p FROM t, b)",
+        "a0 AS (SELECT avg((floor(p + 0.5) = y)::int) * 100 AS best FROM r0)",
+    ]
+    kept, shown = [], ["SELECT 0 AS place, best AS accuracy FROM a0"]
+    for i in range(1, SEQUENCE_ROUNDS + 1):
+        columns = "".join(f", {e}" for e in kept)
+        rest = "z - m - d * zd / nullif(dd, 0)" + "".join(f" - coalesce({e} * z{e} / nullif(n{e}, 0), 0)" for e in kept)
+        sums = "".join(f", sum(z * {e}) AS z{e}, sum({e} * {e}) AS n{e}" for e in kept)
+        parts += [
+            f"v{i} AS MATERIALIZED (SELECT level, genus, cusps, y, d, p{columns}, {z} AS z FROM r{i - 1},"
+            f" (SELECT * FROM c WHERE i = {i}))",
+            f"m{i} AS (SELECT avg(z) AS m, sum(z * d) AS zd, sum(d * d) AS dd, var_pop(z) * count(*) AS zz{sums} FROM v{i})",
+            f"e{i}q AS MATERIALIZED (SELECT v{i}.*, {rest} AS e FROM v{i}, m{i})",
+            f"f{i} AS (SELECT sum(e * (y - p)) / nullif(sum(e * e), 0) AS slope, avg(y - p) AS centre,"
+            f" sum(e * e) >= 1e-10 * any_value(zz) AND sum(e * e) / count(*) >= 1e-15 AS usable FROM e{i}q, m{i})",
+            f"h{i} AS (SELECT *, is_new AND drawn >= 5 AS scored, is_new AND drawn >= 5 AND coalesce(usable, false)"
+            f" AND accuracy >= best + 0.01 AS taken FROM (SELECT slope, centre, usable,"
+            f" avg((floor(p + slope * e + centre + 0.5) = y)::int) * 100 AS accuracy FROM e{i}q, f{i} GROUP BY ALL),"
+            f" (SELECT is_new, drawn FROM c WHERE i = {i}), a{i - 1})",
+            f"a{i} AS (SELECT CASE WHEN taken THEN accuracy ELSE best END AS best FROM h{i})",
+            f"r{i} AS MATERIALIZED (SELECT level, genus, cusps, y, d, CASE WHEN taken THEN p + slope * e + centre ELSE p END AS p"
+            f"{columns}, CASE WHEN taken THEN e ELSE 0 END AS x{i} FROM e{i}q, h{i})",
+        ]
+        kept.append(f"x{i}")
+        shown.append(f"SELECT {i}, best FROM a{i} WHERE (SELECT scored FROM h{i})")
+    return ", " + ", ".join([*parts, f"g AS ({' UNION ALL '.join(shown)}) "])
+
+
+@query(
+    "e10_resumed_sequence",
+    _EXACT + _sequence_sql() + f"SELECT {big('row_number() OVER (ORDER BY place)')} AS iteration,"
+    f" {r6('accuracy')} AS boosting_accuracy, true AS same_as_uninterrupted FROM g",
+)
+def e10_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracies of a run that was stopped half way and taken up again, beside those of one that was not."""
+    rows, candidates = exact(spark, sf_dir).select("y", *NUMERICAL), candidate_table(spark, sf_dir)
+    folder = staging_path(spark, "rounds")
+    options = {"degree": 1, "tries": 1}
+    durable_boost(rows, candidates, ["genus"], "y", folder, SEQUENCE_STOP, **options)
+    resumed = durable_boost(rows, candidates, ["genus"], "y", folder, SEQUENCE_ROUNDS, **options)
+    whole = B.boost_loop(rows, candidates, "y", B.start_run(rows, ["genus"], "y", 1), SEQUENCE_ROUNDS, tries=1)
+    same = len(whole.accuracies) == len(resumed.accuracies) and [s.body for s in whole.model.stages] == [
+        s.body for s in resumed.model.stages
+    ]
+    progress = [
+        (i + 1, float(a), same and abs(a - b) < 1e-9) for i, (a, b) in enumerate(zip(resumed.accuracies, whole.accuracies))
+    ]
+    return settle(
+        spark.createDataFrame(progress, "iteration bigint, boosting_accuracy double, same_as_uninterrupted boolean")
+    )
+
+
 @query("e11_state_round_trip", _EXACT + f"SELECT count(*)::bigint AS n, {r6('0')} AS largest_change FROM t")
 def e11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact(spark, sf_dir)

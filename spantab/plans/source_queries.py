@@ -105,6 +105,44 @@ def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(A.combine_chunks(spark, [*paths, f"{path}/absent"], ["o_orderkey", "priority", "status"], "price"))
 
 
+_REASONS = {1: "a line is longer than the header", 2: "broken file", 3: "no wanted column"}
+
+
+@query(
+    "a8_quarantine",
+    f"WITH d AS ({DIRTY_SQL}), c AS (SELECT floor(o_orderkey / {5 * SIZE})::bigint AS chunk, status IS NOT NULL AND"
+    " status NOT IN ('None', 'null', 'N/A', 'NaN', '') AS whole FROM d)"
+    " SELECT chunk, CASE chunk % 4 " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in _REASONS.items())
+    + " ELSE 'kept' END AS reason, CASE WHEN chunk % 4 = 0 THEN count(*) FILTER (whole) ELSE 0 END::bigint AS n_rows"
+    " FROM c GROUP BY chunk",
+)
+def a8_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every four chunks one is whole; the others have long lines, a broken body, or no wanted column."""
+    chunk = A.chunk_number("o_orderkey", 5 * SIZE)
+    rows = dirty(spark, sf_dir).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint")).withColumn("chunk", chunk)
+    path = staging_path(spark, "quarantine")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("o_orderkey", "status")]
+    line = F.concat_ws(";", *cells, F.when(F.col("chunk") % 4 == 1, "beyond"))
+    header = F.when(F.col("chunk") % 4 == 3, "key;state").otherwise("o_orderkey;status")
+    lines = rows.select("chunk", F.lit(1).alias("place"), line.alias("value")).unionByName(
+        rows.select("chunk", F.lit(0).alias("place"), header.alias("value")).distinct()
+    )
+    placed = lines.repartition("chunk").sortWithinPartitions("chunk", "place").select("chunk", "value")
+    placed.write.partitionBy("chunk").text(path)
+    files = [(k, f) for k in A.chunk_paths(spark, path, 0, 1 << 40) for f, _ in A._data_files(spark, k)]
+    for folder, file in files:
+        if int(folder.rsplit("=", 1)[1]) % 4 == 2:  # plain text under the name of a compressed file breaks in its body
+            fs, place = A._file_system(spark, file)
+            fs.rename(place, A._file_system(spark, f"{file}.gz")[1])
+    scan = A.scan_chunks(spark, [folder for folder, _ in files], "o_orderkey", "status")
+    number = F.regexp_extract("file", r"chunk=(\d+)", 1).cast("bigint")
+    bad = scan.quarantine.select(number.alias("chunk"), "reason", F.lit(0).cast("bigint").alias("n_rows"))
+    kept = scan.rows.groupBy(A.chunk_number(F.col("o_orderkey").cast("bigint"), 5 * SIZE).alias("chunk")).agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+    return settle(bad.unionByName(kept.withColumn("reason", F.lit("kept"))))
+
+
 @query("a9_table_round_trip", f"SELECT {_ORDERS_SQL} FROM orders")
 def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "table")

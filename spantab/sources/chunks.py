@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import bz2
 import csv
+import gzip
+import io
 import logging
 import re
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,17 +22,20 @@ from spantab.operators.cleaning import (
     NA_TOKENS,
     READER_NA_TOKENS,
     as_names,
-    concat_rows,
     drop_null_rows,
-    normalise_headers,
+    normalised_names,
     nullify_tokens,
-    project,
     trim_strings,
 )
+from spantab.staging import stage
 
 _log = logging.getLogger(__name__)
 
 CHUNK_FOLDER = "chunk={i}"
+MAX_FILE_BYTES = 1 << 30  # a task holds one file as it is stored
+PARSED_ROWS = 10_000
+LOGGED_FILES = 100
+QUARANTINE = "file string, reason string"
 NULL_TEXT = "None"  # fixed value: how the chunk files spell a missing cell
 
 
@@ -146,37 +155,20 @@ def sample_chunks(
     return df.join(numbers.orderBy(order, chunk).limit(n), chunk, "left_semi")
 
 
-def _first_files(spark: SparkSession, path: str) -> list[str]:
-    """Data files under a path; a plain file stands for itself."""
+def _data_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(file, bytes) of the data files under a path; a plain file stands for itself."""
     fs, location = _file_system(spark, path)
-    if fs.getFileStatus(location).isFile():
-        return [path]
+    status = fs.getFileStatus(location)
+    if status.isFile():
+        return [(path, status.getLen())]
     found, files = [], fs.listFiles(location, True)
     while files.hasNext():
-        item = files.next().getPath()
-        if not item.getName().startswith(("_", ".")):
-            found.append(item.toString())
+        item = files.next()
+        if not item.getPath().getName().startswith(("_", ".")):
+            found.append((item.getPath().toString(), item.getLen()))
     return found
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
-    """Names in the first line of a file, plain or compressed; no Spark job."""
-    hadoop, java = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jvm.java
-    fs, location = _file_system(spark, path)
-    stream = fs.open(location)
-    codec = hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(location)
-    if codec is not None:
-        stream = codec.createInputStream(stream)
-    lines = java.io.BufferedReader(java.io.InputStreamReader(stream, "UTF-8"))
-    try:
-        first = lines.readLine()
-    finally:
-        lines.close()
-    if first is None:
-        raise ValueError("empty file")
-    return _distinct_names(next(csv.reader([first.removeprefix("\ufeff")], delimiter=sep)))
-
-
 def _distinct_names(names: Sequence[str]) -> tuple[str, ...]:
     seen: dict[str, int] = {}
     out: list[str] = []
@@ -189,67 +181,149 @@ def _distinct_names(names: Sequence[str]) -> tuple[str, ...]:
     return tuple(out)
 
 
-def combine_chunks(
-    spark: SparkSession,
-    paths: Sequence[str],
-    feature: str | Sequence[str],
-    target: str | Sequence[str],
-    sep: str = ";",
-    schema: T.StructType | None = None,
-    multiline: bool = False,
-) -> DataFrame:
+@dataclass(frozen=True)
+class ChunkScan:
+    """The cleaned rows of all whole files, and (file, reason) of those left out."""
+
+    rows: DataFrame
+    quarantine: DataFrame
+
+
+def scan_chunks(
+    spark: SparkSession, paths: Sequence[str], feature: str | Sequence[str], target: str | Sequence[str], sep: str = ";",
+    schema: T.StructType | None = None, multiline: bool = False,
+) -> ChunkScan:
     """The cleaning scan over text chunks with header lines.
 
     Cells lose their blanks, null tokens become null, wanted columns are kept
     where a chunk has them, chunks are united by name, and rows with a null
-    in a wanted column are dropped. A missing file, one whose header cannot be
-    read, or one with a line longer than its header, is logged and left out as
-    a whole; a file that breaks after its header fails the job. Of equal header
-    names the first keeps its name, later ones get ``.1``, ``.2`` and so on.
-    Files with equal headers are one scan; the driver handles file names and
-    header lines only. With ``schema`` the wanted scalar columns are typed at the end.
+    in a wanted column are dropped. Of equal header names the first keeps its
+    name, later ones get ``.1``, ``.2`` and so on. With ``schema`` the wanted
+    scalar columns are typed at the end.
+
+    A task takes whole files, reads header and body once and writes the cells
+    of wanted columns, and after the last line of a file one row that commits
+    it. A file that is empty, broken (also in the middle of its compressed
+    body), without a wanted column, with a line longer than its header, with a
+    quoted cell over several lines (unless ``multiline``) or beyond ``MAX_FILE_BYTES`` is left out as a whole: its rows
+    are passed over, and ``quarantine`` says why. Missing paths are logged. The
+    driver handles file names only.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in existing_paths(spark, list(paths)):
-        for file in _first_files(spark, path):
-            try:
-                groups.setdefault(_header(spark, file, sep), []).append(file)
-            except Exception as error:  # noqa: BLE001 - one bad file must not end the scan
-                _log.warning("file %s left out: %s", file, error)
-    wanted = [*as_names(feature), *as_names(target)]
-    frames = []
-    for header, files in groups.items():
-        raw = T.StructType([T.StructField(h, T.StringType()) for h in (*header, "_extra")])
-        good = _well_formed(spark, files, raw, sep, multiline)
-        if not good:
-            continue
-        rows = normalise_headers(_reader(spark, raw, sep, True, multiline, trim=True).csv(good).drop("_extra"))
-        present = [c for c in wanted if c in rows.columns]
-        if not present:
-            _log.warning("no wanted column in files with header %s", header)
-            continue
-        rows = project(rows, present, None)
-        frames.append(nullify_tokens(trim_strings(nullify_tokens(rows, NA_TOKENS + READER_NA_TOKENS)), ("None",)))
-    if not frames:
-        return spark.createDataFrame([], T.StructType([]))
-    combined = drop_null_rows(concat_rows(frames), wanted)
-    return combined if schema is None else typed_scalars(combined, schema)
-
-
-def _well_formed(spark: SparkSession, files: list[str], raw: T.StructType, sep: str, multiline: bool) -> list[str]:
-    """Files without a line longer than the header: one pass that returns names only."""
-    rows = _reader(spark, raw, sep, True, multiline, trim=True).csv(files)
-    long_lines = rows.filter(F.col("_extra").isNotNull()).select(F.col("_metadata.file_path").alias("f")).distinct()
-    bad = {_plain(r["f"]) for r in long_lines.collect()}
-    for name in bad:
-        _log.warning("file %s left out: a line is longer than the header", name)
-    return [f for f in files if _plain(f) not in bad]
+    wanted = list(dict.fromkeys([*as_names(feature), *as_names(target)]))
+    listed = [f for path in existing_paths(spark, list(paths)) for f in _data_files(spark, path)]
+    files = [f for f, length in listed if 0 < length <= MAX_FILE_BYTES]
+    chosen = set(files)
+    unread = [(f, "empty file" if not n else f"longer than {MAX_FILE_BYTES} bytes") for f, n in listed if f not in chosen]
+    refused = spark.createDataFrame(unread, QUARANTINE)
+    if not files:
+        return _logged(ChunkScan(spark.createDataFrame([], T.StructType([])), refused))
+    found = spark.read.format("binaryFile").load(files).select("path", "content")
+    lines = stage(found.mapInArrow(_parser(wanted, sep, multiline), _parsed_schema(len(wanted))), "chunk-lines")
+    ends = lines.filter(F.col("reason").isNotNull() | F.col("present").isNotNull()).select("file", "reason", "present")
+    broken = ends.filter(F.col("reason").isNotNull()).select("file", "reason")
+    quarantine = broken.unionByName(refused)
+    here = {r["i"] for r in ends.filter(F.col("reason").isNull()).select(F.explode("present").alias("i")).distinct().collect()}
+    body = lines.filter(F.col("reason").isNull() & F.col("present").isNull()).join(broken, "file", "left_anti")
+    rows = body.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(wanted) if i in here))
+    if not here:
+        return _logged(ChunkScan(spark.createDataFrame([], T.StructType([])), quarantine))
+    rows = nullify_tokens(trim_strings(nullify_tokens(rows, NA_TOKENS + READER_NA_TOKENS)), ("None",))
+    rows = drop_null_rows(rows, [c for i, c in enumerate(wanted) if i in here])
+    return _logged(ChunkScan(rows if schema is None else typed_scalars(rows, schema), quarantine))
+
+
+def _logged(scan: ChunkScan) -> ChunkScan:
+    for row in scan.quarantine.orderBy("file").limit(LOGGED_FILES).collect():
+        _log.warning("file %s left out: %s", row["file"], row["reason"])
+    return scan
 
 
-def _plain(path: str) -> str:
-    from urllib.parse import unquote
-
-    return unquote(re.sub(r"^[a-z0-9]+:/+", "/", path))
+def combine_chunks(
+    spark: SparkSession, paths: Sequence[str], feature: str | Sequence[str], target: str | Sequence[str], sep: str = ";",
+    schema: T.StructType | None = None, multiline: bool = False,
+) -> DataFrame:
+    """The rows of :func:`scan_chunks`; files left out are logged."""
+    return scan_chunks(spark, paths, feature, target, sep, schema, multiline).rows
+
+
+def _parsed_schema(n_cells: int) -> str:
+    return "file string, reason string, present array<int>" + "".join(f", c{i} string" for i in range(n_cells))
+
+
+class _BadFile(Exception):
+    pass
+
+
+def _opened(path: str, content: bytes) -> io.TextIOWrapper:
+    """The text of a file, decompressed while it is read."""
+    raw: io.BufferedIOBase = io.BytesIO(content)
+    kind = path.rsplit(".", 1)[-1] if "." in path.rsplit("/", 1)[-1] else ""
+    if kind == "gz":
+        raw = gzip.GzipFile(fileobj=raw)
+    elif kind == "bz2":
+        raw = bz2.BZ2File(raw)
+    elif kind == "deflate":
+        raw = io.BytesIO(zlib.decompress(content))
+    elif kind in ("zst", "lz4", "snappy"):
+        raise _BadFile(f"compression {kind} is not read")
+    return io.TextIOWrapper(raw, "utf-8", errors="replace", newline="")
+
+
+def _lines(path: str, content: bytes, wanted: Sequence[str], sep: str, multiline: bool) -> Iterator[list]:
+    """First the places of the wanted columns that the header has, then the wanted cells of every line."""
+    csv.field_size_limit(1 << 30)
+    reader = csv.reader(_opened(path, content), delimiter=sep, skipinitialspace=True)
+    header = next(reader, None)
+    if not header:
+        raise _BadFile("empty file")
+    names = normalised_names(_distinct_names([header[0].removeprefix("\ufeff"), *header[1:]]))
+    places = [(i, names.index(c)) for i, c in enumerate(wanted) if c in names]
+    if not places:
+        raise _BadFile("no wanted column")
+    yield [i for i, _ in places]
+    read = reader.line_num
+    for line in reader:
+        if not multiline and reader.line_num > read + 1:
+            raise _BadFile("a quoted cell goes on in the next line")
+        read = reader.line_num
+        if any(line[len(names) :]):
+            raise _BadFile("a line is longer than the header")
+        if line:
+            out: list[str | None] = [None] * len(wanted)
+            for i, at in places:
+                out[i] = line[at] or None if at < len(line) else None
+            yield out
+
+
+def _parser(wanted: Sequence[str], sep: str, multiline: bool):
+    """Rows of whole files, each file's followed by its commit (the places of its columns) or by a reason."""
+    names = ["file", "reason", "present", *(f"c{i}" for i in range(len(wanted)))]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.int32()), *[pa.string()] * len(wanted)]
+
+    def batch_of(rows: list[list]) -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blank = [None] * len(wanted)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                path, content = batch.column("path")[k].as_py(), batch.column("content")[k].as_py()
+                rows, present = [], None
+                try:
+                    lines = _lines(path, content, wanted, sep, multiline)
+                    present = next(lines)
+                    for cells in lines:
+                        rows.append([path, None, None, *cells])
+                        if len(rows) == PARSED_ROWS:
+                            yield batch_of(rows)
+                            rows = []
+                    rows.append([path, None, present, *blank])
+                except (_BadFile, csv.Error, EOFError, OSError, zlib.error) as error:
+                    rows.append([path, f"{error}" if isinstance(error, _BadFile) else "broken file", None, *blank])
+                yield batch_of(rows)
+
+    return run
 
 
 def typed_scalars(df: DataFrame, schema: T.StructType) -> DataFrame:

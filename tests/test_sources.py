@@ -115,6 +115,43 @@ def test_compressed_chunk_files(spark, tmp_path, caplog):
     assert "empty.csv left out" in caplog.text
 
 
+def test_broken_files_are_left_out_whole(spark, tmp_path):
+    import gzip
+    import random
+
+    rng = random.Random(3)
+    good = "id;v\n" + "".join(f"{i};{rng.random()}\n" for i in range(30_000))
+    packed = gzip.compress(good.encode())
+    files = {
+        "whole.csv.gz": packed, "cut.csv.gz": packed[: len(packed) // 2], "flipped.csv.gz": packed[:-6] + b"\x00" + packed[-5:],
+        "plain.csv": good[:2000].rsplit("\n", 1)[0].encode(), "long.csv": good.encode() + b"1;2;3\n", "none.csv": b"a;b\n1;2\n",
+        "open.csv": b'id;v\n1;"2\n3;4\n', "packed.csv.snappy": b"id;v\n", "quoted.csv": b'id;v\n7; "x;y" \n8;\n\n',
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    scan = A.scan_chunks(spark, [str(tmp_path)], "id", "v")
+    reasons = {r["file"].rsplit("/", 1)[1]: r["reason"] for r in scan.quarantine.collect()}
+    assert reasons == {
+        "cut.csv.gz": "broken file", "flipped.csv.gz": "broken file", "long.csv": "a line is longer than the header",
+        "none.csv": "no wanted column", "open.csv": "a quoted cell goes on in the next line",
+        "packed.csv.snappy": "compression snappy is not read",
+    }
+    rows = [tuple(r) for r in scan.rows.collect()]
+    assert len(rows) == 30_000 + files["plain.csv"].count(b"\n") + 1 and ("7", "x;y") in rows
+    both = A.scan_chunks(spark, [str(tmp_path / "open.csv")], "id", "v", multiline=True)
+    assert [tuple(r) for r in both.rows.collect()] == [("1", "2\n3;4")] and both.quarantine.count() == 0
+    assert A.scan_chunks(spark, [str(tmp_path / "none.csv")], "id", "v").rows.columns == []
+
+
+def test_files_beyond_the_limit_are_named(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("id\n1\n")
+    (tmp_path / "b.csv").write_text("id\n" + "2\n" * 50)
+    monkeypatch.setattr(A, "MAX_FILE_BYTES", 20)
+    scan = A.scan_chunks(spark, [str(tmp_path)], "id", [])
+    assert [tuple(r) for r in scan.rows.collect()] == [("1",)]
+    assert [r["reason"] for r in scan.quarantine.collect()] == ["longer than 20 bytes"]
+
+
 def test_sample_is_distinct_and_repeatable(spark):
     df = A.id_range_chunk(spark.range(1000), "id", 100)
     once = {r["chunk"] for r in A.sample_chunks(df, 3, 0, 10).select("chunk").distinct().collect()}
