@@ -4,18 +4,23 @@ Base spans are e-mail addresses, IP addresses, payment cards and phone numbers.
 Every distinct value is a protected entity. How strongly a term reveals an
 entity is measured over the corpus: with ``n`` documents, ``n_t`` with the
 term, ``n_e`` with the entity and ``n_te`` with both, the pointwise mutual
-information ``log2(n n_te / (n_t n_e))`` is compared with the entity's own
-information ``log2(n / n_e)``. A term whose share reaches ``DISCLOSURE`` is a
-span too, in every document: it gives the entity away where the entity itself
-is not spelled out as well. Sanitising replaces base spans by
+information ``log2(n (n_te - DISCOUNT) / (n_t n_e))`` is compared with the
+entity's own information ``log2(n / n_e)``. The discount takes half a document
+off what was seen together: two documents are evidence in any corpus of about a
+thousand, a single one only beyond 2**20 documents, where meeting by chance is
+out of the question. No count is cut off. A term whose share reaches
+``DISCLOSURE`` is a span too, in every document: it gives the entity away where
+the entity itself is not spelled out as well. Sanitising replaces base spans by
 their kind, removes terms that reveal everything and generalises the others.
 
 Terms are letter runs of ``TERM_LETTERS`` or more, lower-cased. Terms and
-entities are counted over all documents; pairs seen in fewer than ``SUPPORT``
-documents are no evidence.
+entities are counted over all documents. Entities and terms that no possible
+``n_te`` could bring to the threshold are left out before pairs are counted.
 
 Rules for odd input: a null text is empty; repeated rows count as documents of
-their own; an empty table gives no rows; other columns play no part.
+their own; an empty table gives no rows; spans of one start are ordered by the
+kinds' places; very long texts are read whole, their matches placed in blocks;
+other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from spantab.llm.ordering import quoted
 from spantab.llm.spans import matches, no_spans
 from spantab.staging import stage
 
-SUPPORT = 3
+DISCOUNT = 0.5
 DISCLOSURE = 0.95
 TERM_LETTERS = 4
 KINDS = ("email", "ip", "card", "phone")
@@ -90,7 +95,7 @@ def _terms(text: Column) -> Column:
 
 
 def find_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE
 ) -> DataFrame:
     """Per document ``id, base, terms``: its base spans, and the spans of terms that reveal an entity.
 
@@ -102,7 +107,7 @@ def find_spans(
     read = docs.select(quoted(id_col).alias("id"), text.alias("text"))
     based = read.select(F.monotonically_increasing_id().alias("row_id"), "id", "text", base_spans(F.col("text")).alias("base"))
     based = stage(based, "pii-base")
-    revealing = stage(_revealing_terms(based, support, disclosure), "pii-revealing")
+    revealing = stage(_revealing_terms(based, disclosure), "pii-revealing")
     any_case = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
     clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
     terms = F.filter(matches(F.col("text"), any_case, TERM, 4, lambda m: F.lit(True)), clear)
@@ -112,27 +117,36 @@ def find_spans(
     )
 
 
-def _revealing_terms(based: DataFrame, support: int, disclosure: float) -> DataFrame:
+def reveals(n: Column, n_e: Column, n_t: Column, n_te: Column, disclosure: float) -> Column:
+    """Whether a term reveals an entity, from the numbers of documents with either and both."""
+    information = F.log2(n / n_e)
+    return (information > 0) & (F.log2(n * (n_te - DISCOUNT) / (n_t * n_e)) >= disclosure * information)
+
+
+def _revealing_terms(based: DataFrame, disclosure: float) -> DataFrame:
     """Per row with any the ``words`` that reveal an entity, and those that do so wholly."""
+    documents, n_e, n_t = F.lit(based.count()), F.col("n_e"), F.col("n_t")
     entities = F.array_distinct(F.transform("base", _entity))
     holders = based.filter(F.size("base") > 0)
     holding = holders.select("row_id", F.explode(entities).alias("entity"))
-    known = holding.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
-    with_terms = (
-        holding.join(known, "entity")
-        .join(holders.select("row_id", _terms(F.col("text")).alias("words")), "row_id")
-        .select("row_id", "entity", "n_e", F.explode("words").alias("word"))
-    )
-    together = with_terms.groupBy("entity", "word", "n_e").agg(F.count("*").alias("n_te"))
-    together = stage(together.filter(F.col("n_te") >= support), "pii-pairs")
+    known = holding.groupBy("entity").agg(F.count("*").alias("n_e"))
+    # at best a term stands in the entity's documents and nowhere else
+    known = stage(known.filter(reveals(documents, n_e, n_e, n_e, disclosure)), "pii-entities")
     # document frequencies of all terms by hash; a clash of two hashes can only make a term look more common
     everywhere = based.select("row_id", F.explode(_terms(F.col("text"))).alias("word"))
     counts = everywhere.groupBy(F.xxhash64("word").alias("hashed")).agg(F.count("*").alias("n_t"))
-    documents = F.lit(based.count())
-    measured = together.withColumn("hashed", F.xxhash64("word")).join(counts, "hashed")
-    information = F.log2(documents / F.col("n_e"))
-    mutual = F.log2(documents * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    measured = measured.filter((information > 0) & (mutual >= disclosure * information))
+    most = known.agg(F.max("n_e")).first()[0] or 1
+    # from n_te <= n_e follows log2(n_t) <= log2(n_e) + (1 - disclosure) log2(n / n_e), which grows with n_e
+    rare = counts.filter(F.log2(n_t) <= F.log2(F.lit(most)) + (1 - disclosure) * F.log2(documents / most) + 1e-9)
+    with_entity = holding.join(known, "entity").join(
+        holders.select("row_id", _terms(F.col("text")).alias("words")), "row_id"
+    )
+    with_terms = with_entity.select("entity", "n_e", F.explode("words").alias("word")).withColumn("hashed", F.xxhash64("word"))
+    possible = with_terms.join(rare, "hashed").filter(
+        reveals(documents, n_e, n_t, F.least(n_t, n_e), disclosure)
+    )
+    together = possible.groupBy("entity", "word", "n_e", "n_t").agg(F.count("*").alias("n_te"))
+    measured = stage(together.filter(reveals(documents, n_e, n_t, F.col("n_te"), disclosure)), "pii-pairs")
     words = measured.groupBy("word").agg(F.max(F.col("n_te") == F.col("n_t")).alias("wholly"))
     # written first, so that the join below knows how few they are
     found = everywhere.join(stage(words, "pii-words"), "word")

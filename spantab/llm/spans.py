@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 SPAN = "struct<start: int, place: int, stop: int, kind: string, value: string>"
 
 
+#: Matches that are placed together; lists are appended to within a block only, so many matches cost linear time.
+BLOCK = 256
+
+
 def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
@@ -21,7 +25,7 @@ def matches(text: Column, pattern: Column, kind: str, place: int, keep: Callable
     What stands between the matches comes from splitting at them; lengths of
     both add up to positions. Texts without a match are never split.
     """
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
+    nothing = F.array().cast(f"array<array<{SPAN}>>")
 
     def step(done: Column, piece: Column) -> Column:
         begin = done["at"] + piece["gap"]
@@ -35,11 +39,23 @@ def matches(text: Column, pattern: Column, kind: str, place: int, keep: Callable
             stop.alias("at"), F.when(kept, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans")
         )
 
+    def block(done: Column, pieces: Column) -> Column:
+        start = F.struct(done["at"].alias("at"), no_spans().alias("spans"))
+        ended = F.transform(F.array(F.aggregate(pieces, start, step)), lambda e: F.struct(
+            e["at"].alias("at"), F.concat(done["blocks"], F.array(e["spans"])).alias("blocks")
+        ))
+        return ended[0]
+
+    def in_blocks(pieces: Column) -> Column:
+        cuts = F.sequence(F.lit(1), F.size(pieces), F.lit(BLOCK))
+        start = F.struct(F.lit(0).alias("at"), nothing.alias("blocks"))
+        return F.flatten(F.aggregate(F.transform(cuts, lambda i: F.slice(pieces, i, BLOCK)), start, block)["blocks"])
+
     def placed(found: Column) -> Column:
         pieces = F.zip_with(
             F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m"))
         )
-        return F.when(F.size(found) > 0, F.aggregate(pieces, start, step)["spans"]).otherwise(no_spans())
+        return F.when(F.size(found) > 0, F.transform(F.array(pieces), in_blocks)[0]).otherwise(no_spans())
 
     # the matches as a bound variable, so that they are looked for once
     return F.transform(F.array(F.regexp_extract_all(text, pattern, F.lit(0))), placed)[0]

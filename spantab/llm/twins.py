@@ -82,15 +82,14 @@ def pii_sql() -> str:
     h AS (SELECT DISTINCT row_id, CASE WHEN s.kind IN ('card', 'phone') THEN s.kind || ':' || {_digits('s.value')}
                                        ELSE s.kind || ':' || lower(s.value) END AS entity
           FROM b, unnest(base) AS u(s)),
-    k AS (SELECT entity, count(*) AS n_e FROM h GROUP BY 1 HAVING count(*) >= {pii.SUPPORT}),
+    k AS (SELECT entity, count(*) AS n_e FROM h GROUP BY 1),
     t AS (SELECT row_id, unnest({words}) AS word FROM d),
-    w AS (SELECT row_id, entity, n_e, word FROM h JOIN k USING (entity) JOIN t USING (row_id)),
-    p AS (SELECT entity, word, n_e, count(*) AS n_te FROM w GROUP BY 1, 2, 3 HAVING count(*) >= {pii.SUPPORT}),
+    p AS (SELECT entity, word, n_e, count(*) AS n_te FROM h JOIN k USING (entity) JOIN t USING (row_id) GROUP BY 1, 2, 3),
     f AS (SELECT word, count(*) AS n_t FROM t GROUP BY 1),
     n AS (SELECT count(*) AS n FROM d),
-    m AS (SELECT entity, word FROM p JOIN f USING (word), n WHERE log2(n / n_e) > 0
-          AND log2(n * n_te / (n_t * n_e)) >= {pii.DISCLOSURE}::DOUBLE * log2(n / n_e)),
-    r AS (SELECT row_id, list(DISTINCT word) AS flagged FROM w JOIN m USING (entity, word) GROUP BY 1),
+    m AS (SELECT DISTINCT word FROM p JOIN f USING (word), n WHERE log2(n / n_e) > 0
+          AND log2(n * (n_te - {pii.DISCOUNT}::DOUBLE) / (n_t * n_e)) >= {pii.DISCLOSURE}::DOUBLE * log2(n / n_e)),
+    r AS (SELECT row_id, list(DISTINCT word) AS flagged FROM t JOIN m USING (word) GROUP BY 1),
     y AS (SELECT row_id, base, flagged, {_lists('text', {pii.TERM: _LETTERS})}
           FROM b JOIN r USING (row_id)),
     s AS (SELECT row_id, list_filter({tokens}, lambda t: len(list_filter(base, lambda x:

@@ -73,6 +73,49 @@ def test_pii_terms_that_reveal_an_entity(spark):
     assert clean[1] == " wrote to [email] about matters  1" and clean[10] == "somebody wrote about matters 0"
 
 
+def test_pii_measure_equals_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(13)
+    people = [f"user{i}@mail.example" for i in range(40)]
+    hints = [f"hint{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(40)]
+    texts = []
+    for _ in range(700):
+        who = int(rng.paretovariate(0.7)) % 40
+        words = [f"common{chr(97 + rng.randrange(20))}" for _ in range(rng.randrange(12))]
+        if rng.random() < 0.4:
+            words += [people[who], hints[who]] if rng.random() < 0.98 else [people[who], rng.choice(hints)]
+        if rng.random() < 0.01:
+            words.append(rng.choice(hints))
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    terms = [set(re.findall(r"[a-z]{4,}", t)) for t in texts]
+    held = [set(re.findall(r"user[0-9]+@mail.example", t)) for t in texts]
+    n, flagged = len(texts), set()
+    for entity in set().union(*held):
+        with_entity = [k for k in range(n) if entity in held[k]]
+        for word in set().union(*(terms[k] for k in with_entity)):
+            n_te, n_t = sum(word in terms[k] for k in with_entity), sum(word in t for t in terms)
+            own = math.log2(n / len(with_entity))
+            if own > 0 and math.log2(n * (n_te - pii.DISCOUNT) / (n_t * len(with_entity))) >= pii.DISCLOSURE * own:
+                flagged.add(word)
+    assert len(flagged & set(hints)) > 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for r in pii.find_spans(docs).collect():
+        outside = re.sub(r"[a-z0-9]+@mail\.example", " ", texts[r.id])
+        assert sorted(s.value for s in r.terms) == sorted(w for w in re.findall(r"[a-z]{4,}", outside) if w in flagged)
+
+
+def test_pii_many_matches_in_one_text(spark):
+    import time
+
+    text = "10.0.0.1 " * 100_000
+    start = time.time()
+    (row,) = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert [s.start for s in row.base] == [9 * i for i in range(100_000)] and time.time() - start < 60
+
+
 def test_pii_terms_are_found_without_their_entity(spark):
     rows = [(i, f"Zebulon wrote to me@x.org on day {i}") for i in range(9)] + [(9, "it was zebulon himself, they say")]
     rows += [(10 + i, f"somebody wrote, they say, on day {i}") for i in range(400)]
