@@ -125,6 +125,44 @@ def h4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(H.render_prompts(TEMPLATE, ["level", "genus"], parts, ["p_brand"], "p_partkey", "p_name"))
 
 
+_BEFORE, _AFTER = TEMPLATE.replace("{{features}}", "level, genus").split("{{saved features}}")
+_SAVED_SQL = "WITH s AS (SELECT p_brand, p_name AS code, min(p_partkey) AS seq FROM part GROUP BY p_brand, p_name),"
+_NAMED_SQL = "'def f1(row):', 'def f' || (saved + 1)::varchar || '(row):'"
+
+#: Codes of a piece of a prompt.
+PIECE_CODES = 7
+
+
+@query(
+    "h4_prompt_pieces",
+    _SAVED_SQL + " n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY seq, code) - 1 AS i,"
+    " count(*) OVER (PARTITION BY p_brand) AS saved FROM s),"
+    f" g AS (SELECT p_brand, saved, i // {PIECE_CODES} AS piece, string_agg(code, '\n' ORDER BY i) AS list FROM n GROUP BY ALL)"
+    " SELECT p_brand, saved::bigint AS saved, piece::bigint AS piece, replace("
+    f"CASE WHEN piece = 0 THEN '{_BEFORE}' ELSE '\n' END || list || CASE WHEN piece = (saved - 1) // {PIECE_CODES}"
+    f" THEN '{_AFTER}' ELSE '' END, {_NAMED_SQL}) AS text FROM g",
+)
+def h4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return settle(
+        H.render_pieces(TEMPLATE, ["level", "genus"], parts, ["p_brand"], "p_partkey", "p_name", block=PIECE_CODES)
+    )
+
+
+@query(
+    "h4_capped_prompts",
+    _SAVED_SQL + " q AS (SELECT *, md5('42:' || seq::varchar) AS h, row_number() OVER (PARTITION BY p_brand ORDER BY seq DESC)"
+    " AS age, count(*) OVER (PARTITION BY p_brand) AS n FROM s),"
+    " d AS (SELECT *, row_number() OVER (PARTITION BY p_brand, age <= 8 ORDER BY h, seq) AS draw FROM q),"
+    " g AS (SELECT p_brand, count(*) AS saved, string_agg(code, '\n' ORDER BY seq) AS list FROM d"
+    " WHERE n <= 15 OR age <= 8 OR draw <= 7 GROUP BY p_brand)"
+    f" SELECT p_brand, saved::bigint AS saved, replace('{_BEFORE}' || list || '{_AFTER}', {_NAMED_SQL}) AS prompt FROM g",
+)
+def h4_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return settle(H.render_prompts(TEMPLATE, ["level", "genus"], parts, ["p_brand"], "p_partkey", "p_name", cap=15))
+
+
 @query(
     "h5_new_candidates",
     "SELECT p_name AS code_str, min(p_partkey)::bigint AS seq FROM part p WHERE NOT EXISTS (SELECT 1 FROM part c"
