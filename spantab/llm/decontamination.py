@@ -10,9 +10,10 @@ broadcast at a time, so what a task holds is bounded however large the
 benchmark is; the documents are scanned once per part.
 
 Rules for odd input: null and empty texts have no words and are clean; a null
-item text has no window; repeated items and rows each count as they stand; an
-empty benchmark leaves every document clean; very long texts are scanned in
-segments that overlap by a window. Added columns replace ones of the same name.
+item text has no window; an item without an id marks words, but no list of
+items names it; repeated items and rows each count as they stand; an empty
+benchmark leaves every document clean; very long texts are scanned in segments
+that overlap by a window. Added columns replace ones of the same name.
 """
 
 from __future__ import annotations
@@ -51,8 +52,8 @@ def _rolling(hashes: np.ndarray, length: int) -> np.ndarray:
 class WindowSet:
     """The windows of one benchmark part: per length, which items hold a window, and a bit table over hashes."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
-        self.windows: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
+    def __init__(self, items: list[tuple[str | None, str]], n: int):
+        self.windows: dict[int, dict[tuple[bytes, ...], set[str | None]]] = {}
         for item, text in items:
             words = fold(text, ALPHANUMERIC).split()
             length = min(n, len(words))
@@ -83,7 +84,7 @@ class WindowSet:
                         spans.append((base + i, base + i + length))
             seen += len(new)
             kept = words[len(words) - self.longest + 1 :] if self.longest > 1 else []
-        items = set().union(*(self.windows[len(w)][w] for w in hits))
+        items = set().union(*(self.windows[len(w)][w] for w in hits)) - {None}
         return seen, merged(np.array(sorted(spans), np.int64).reshape(-1, 2)), items
 
 
@@ -122,11 +123,11 @@ def _scanner(broadcast, n: int):
     return arrow_udf(scan, SCAN_TYPE)
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items in parts of about ``part_bytes`` of text; only one part is on the driver at a time."""
     items = benchmark.select(
         quoted(item_col).cast("string").alias("item"), quoted(text_col).alias("text")
-    ).filter("item is not null and text is not null")
+    ).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / part_bytes))
     for k in range(parts):

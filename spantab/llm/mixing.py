@@ -7,8 +7,10 @@ ordered by that time, and the mix ends where the total budget is used up.
 
 Rules for odd input: a null text has no words; a document without words is
 taken nowhere; a null source is a source of its own, last in order; repeated
-rows queue one after the other; an empty table gives an empty mix; other
-columns pass through whatever their names.
+rows queue one after the other; equal places in the shuffle go by id, size and
+contents; an empty table gives an empty mix; very long texts are counted whole,
+and a document longer than the rest of the budget stays whole or stays out;
+other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ def source_targets(
 
 def queue_documents(
     docs: DataFrame, id_col: str, source_col: str, size: Column, seed: int = SEED,
-    weights: Sequence[int] = WEIGHTS, share: float = BUDGET_SHARE, epochs: int = EPOCHS,
+    weights: Sequence[int] = WEIGHTS, share: float = BUDGET_SHARE, epochs: int = EPOCHS, contents: str | None = None,
 ) -> DataFrame:
     """Each document as ``row`` with ``_size, _group, _source_size, _target`` and ``_end``: words queued up to its end."""
     keyed = docs.select(
@@ -84,7 +86,7 @@ def queue_documents(
         source_targets(narrow, weights, share, epochs), "_group"
     )
     # equal keys go by id, size and contents; rows equal in all are interchangeable
-    ties = ("_key", F.col("row")[id_col], "_size", F.xxhash64("row"))
+    ties = ("_key", F.col("row")[id_col], "_size", F.col("row")[contents] if contents else F.xxhash64("row"))
     inside = running_in_block(("_group", "_block"), ties, "_size")
     return keyed.join(offsets, ["_group", "_block"]).withColumn("_end", F.col("_before") + inside)
 
@@ -158,16 +160,74 @@ def _mix_starts(pieces: DataFrame) -> DataFrame:
     return ends.withColumn("mix_start", F.col("_stop") - F.col("taken")).drop("_earlier", "_stop")
 
 
+def _copies(epochs: int) -> Column:
+    """The whole copies of one document with words: where they end in their source's queue, and when.
+
+    Whole documents are in or out, so the time that counts is when half of the
+    document is served: rounding then goes both ways, and the time at which the
+    budget ends is that at which the sources reach their targets.
+    """
+    ends = [F.col("_end") + F.col("_source_size") * k for k in range(epochs)]
+    half = [(e - F.col("_size") / 2) / F.col("_target") for e in ends]
+    listed = F.array(*[F.struct(e.alias("end"), h.alias("finish")) for e, h in zip(ends, half)])
+    return F.when(F.col("_size") > 0, listed)
+
+
+def _first_left_out(narrow: DataFrame, options: dict) -> tuple[float, str, int] | None:
+    """Finish time, source and end of the first copy beyond the budget; None if all copies are in.
+
+    The copies are sorted by range; totals of earlier ranges carry into the one
+    where the budget ends, and only that one is summed row by row.
+    """
+    queued = queue_documents(narrow, "id", "source", F.col("row_words"), contents="contents", **options)
+    copies = queued.select("_group", "_size", F.explode(_copies(options["epochs"])).alias("c")).select("_group", "_size", "c.*")
+    sorted_copies = copies.repartitionByRange("finish", "_group", "end").withColumn("_range", F.spark_partition_id())
+    sorted_copies = stage(sorted_copies, "mix-order")
+    first = F.min(F.struct("finish", "_group", "end"))
+    ranges = sorted_copies.groupBy("_range").agg(F.sum("_size").alias("words"), first.alias("first")).collect()
+    sizes = narrow.select(F.col("row_words").alias("_size"), group_key(F.col("source")).alias("_group"))
+    targets = source_targets(sizes, options["weights"], options["share"], options["epochs"])
+    budget = targets.agg(F.sum("_target")).first()[0] or 0.0
+    before = 0
+    for row in sorted(ranges, key=lambda r: r["first"]):
+        if before + row["words"] >= budget:
+            order = Window.partitionBy("_range").orderBy("finish", "_group", "end")
+            served = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(before)
+            inside = sorted_copies.filter(F.col("_range") == row["_range"]).withColumn("served", served)
+            # a copy is in if at least half of its words come before the end of the budget
+            beyond = inside.filter((F.lit(budget) - (F.col("served") - F.col("_size"))) * 2 < F.col("_size"))
+            found = beyond.agg(first.alias("cut")).first()["cut"]
+            if found is not None:
+                return found["finish"], found["_group"], found["end"]
+        before += row["words"]
+    return None
+
+
 def mix_documents(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None,
     seed: int = SEED, weights: Sequence[int] = WEIGHTS, share: float = BUDGET_SHARE, epochs: int = EPOCHS,
 ) -> DataFrame:
     """The mix as whole documents, a row per copy, with the columns of ``docs``.
 
-    A copy is in if at least half of its words come before its source's target,
-    so each source ends within half a document of its target.
+    All copies are ordered by virtual finish time and cut where the total
+    budget ends, to the nearest whole document. The place of the cut is found
+    on narrow columns; the documents then move once, to find their own places
+    in their sources' queues, and are kept by comparison with it.
     """
     size = word_count("text") if size is None else size
-    queued = queue_documents(docs, id_col, source_col, size, seed, weights, share, epochs)
-    copies = F.filter(_pieces(epochs), lambda p: (p["taken"] > 0) & (p["taken"] * 2 >= F.col("_size")))
-    return queued.withColumn("_copy", F.explode(copies)).select(*unpacked(queued))
+    options = {"seed": seed, "weights": weights, "share": share, "epochs": epochs}
+    narrow = stage(
+        docs.select(
+            quoted(id_col).alias("id"), quoted(source_col).alias("source"), size.alias("row_words"),
+            F.xxhash64(packed(docs)).alias("contents"),
+        ),
+        "mix-sizes",
+    )
+    cut = _first_left_out(narrow, options)
+    queued = queue_documents(docs, id_col, source_col, size, **options)
+    placed = queued.withColumn("_copy", F.explode(_copies(epochs)))
+    if cut is not None:
+        finish, group, end = F.col("_copy.finish"), F.col("_group"), F.col("_copy.end")
+        later = (group < cut[1]) | ((group == cut[1]) & (end < cut[2]))
+        placed = placed.filter((finish < cut[0]) | ((finish == cut[0]) & later))
+    return placed.select(*unpacked(queued))

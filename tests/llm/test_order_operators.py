@@ -63,6 +63,29 @@ def test_mixed_documents_come_near_targets(spark, sf_dir):
         assert abs(taken.get(r.source, 0) - r.t) <= r.largest / 2 + 1
 
 
+def test_mixed_documents_fill_the_budget(spark):
+    """One document holds half of all words; the queue is the one of a plain sort."""
+    rows = [(i, "w " * (5 + i % 9), f"s{i % 3}") for i in range(300)] + [(999, "w " * 3000, "s1"), (998, None, "s1"), (7, "w w", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    size = mixing.word_count("text")
+    mix = mixing.mix_documents(docs)
+    total = docs.agg(F.sum(size)).first()[0]
+    taken = mix.agg(F.sum(size)).first()[0]
+    assert abs(taken - 1.5 * total) <= 3000 / 2 + 1
+    queued = mixing.queue_documents(docs, "doc_id", "source", size).collect()
+    copies = sorted(
+        ((r._end + k * r._source_size - r._size / 2) / r._target, r._group, r._end + k * r._source_size, r._size, r.row.doc_id)
+        for r in queued for k in range(2) if r._size
+    )
+    kept, before = [], 0
+    for *_, words, doc in copies:
+        if (1.5 * total - before) * 2 < words:
+            break
+        kept.append(doc)
+        before += words
+    assert sorted(r.doc_id for r in mix.collect()) == sorted(kept)
+
+
 def test_mixing_odd_input(odd, nothing):
     got = mixing.mix_words(odd).collect()
     assert len(got) == odd.count() and mixing.mix_words(odd).columns[0] == "doc_id"

@@ -369,3 +369,12 @@ def test_toxicity_odd_input(spark, odd, nothing):
     assert got.count() == odd.count() and got.columns == [*odd.columns, "score", "predicted"]
     assert toxicity.score_documents(nothing, model).count() == 0
     assert toxicity.fit(toxicity.training_rows(nothing, labels)).intercept == 0.0
+
+
+def test_benchmark_items_without_id(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "clean words")], "doc_id int, text string")
+    bench = spark.createDataFrame([(None, passage), (4, None)], "item_id int, text string")
+    found = {r["row"].doc_id: r for r in decontamination.scan_documents(docs, bench).collect()}
+    assert [tuple(s) for s in found[1]["spans"]] == [(1, 12)] and found[1]["items"] == [] and not found[2]["spans"]
+    assert [r.doc_id for r in decontamination.remove_contaminated(docs, bench).collect()] == [2]
