@@ -88,7 +88,12 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view after rank, numeric coercion, list parsing and bounds columns."""
-    df = coerce_numeric(derive_rank(curves(spark, sf_dir)), ["log_conductor"])
+    return typed_rows(curves(spark, sf_dir))
+
+
+def typed_rows(raw: DataFrame) -> DataFrame:
+    """Rows of the text view, typed."""
+    df = coerce_numeric(derive_rank(raw), ["log_conductor"])
     df = parse_lists(df, {"canonical_conjugator": 1, "conductor": 2, "q_gonality_bounds": 1})
     bounds = F.col("q_gonality_bounds")
     return df.withColumns({"lower": F.get(bounds, 0), "upper": F.get(bounds, 1)})

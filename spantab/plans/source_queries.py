@@ -8,13 +8,14 @@ from pyspark.sql import types as T
 
 from spantab.operators import splits as S
 from spantab.operators.boosting import boosted_predict
+from spantab.operators.cleaning import expand_list, split_exact_bounded
 from spantab.operators.metrics import metrics
 from spantab.plans.cleaning_queries import DIRTY_SQL, dirty
 from spantab.plans.model_queries import fixed_boost
-from spantab.plans.proxy import PREDICTIONS_SQL, TYPED_SQL, predictions, table, typed
-from spantab.plans.registry import query, r6, settle
+from spantab.plans.proxy import PREDICTIONS_SQL, TYPED_SQL, curves, predictions, table, typed, typed_rows
+from spantab.plans.registry import big, query, r6, settle
 from spantab.plans.metric_queries import _P, _metrics_sql
-from spantab.plans.split_queries import FRAC, hash_sql
+from spantab.plans.split_queries import FRAC, SPLITS_SQL, hash_sql
 from spantab.sources import chunks as A
 from spantab.sources import tables as W
 from spantab.staging import stage, staging_path
@@ -219,3 +220,36 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     n = W.read_metrics(spark, f"{path}/model_evaluation_metrics", "n bigint", "csv").first()["n"]
     return settle(named.withColumn("n", F.lit(n)))
+
+
+_FLOW_KEY = ("level", "genus", "rank", "cusps", "rational_cusps", "coarse_class_num", "canonical_conjugator")
+
+
+@query(
+    "flow_chunks_to_splits",
+    f"WITH a AS (SELECT * FROM ({TYPED_SQL}) b WHERE log_conductor IS NOT NULL),"
+    f" u AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY {', '.join(_FLOW_KEY)}, lower, upper ORDER BY id) = 1),"
+    " t AS (SELECT * FROM u WHERE lower = upper)," + SPLITS_SQL
+    + ", r AS (SELECT fold, role, level, t.id FROM m JOIN t ON m.id = t.id"
+    " UNION ALL SELECT -1, 'bounded', level, id FROM u WHERE lower <> upper)"
+    f" SELECT {big('fold')} AS fold, role, {big('count(*)')} AS n, {big('sum(level)')} AS levels, min(id) AS first FROM r GROUP BY fold, role",
+)
+def chunks_to_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw chunk files to split sets: cleaning scan, types, lists, deduplication, exact and bounded rows, five splits."""
+    raw = curves(spark, sf_dir)
+    path = staging_path(spark, "flow")
+    A.write_chunks(raw, path, "coarse_class_num", 3, header=True)
+    scalars = T.StructType([f for f in raw.schema.fields if f.name != "log_conductor"])
+    names = [c for c in raw.columns if c != "q_gonality_bounds"]
+    scan = A.scan_chunks(spark, A.chunk_paths(spark, path, 0, 6), names, "q_gonality_bounds", schema=scalars)
+    rows = expand_list(typed_rows(scan.rows), "canonical_conjugator")
+    lists = [f"canonical_conjugator_{i}" for i in range(4)]
+    key = [*(c for c in _FLOW_KEY if c != "canonical_conjugator"), *lists, "lower", "upper"]
+    unique = stage(S.dedup_first(rows.select("id", *key, "q_gonality_bounds"), key, "id"), "flow-unique")
+    exact_rows, bounded = split_exact_bounded(unique)
+    plan = S.fit_splits(exact_rows, "id", n=5, assume_unique=True)
+    placed = exact_rows.select("id", "level", F.explode(plan.placements()).alias("m")).select("id", "level", "m.fold", "m.role")
+    every = placed.unionByName(bounded.select("id", "level", F.lit(-1).alias("fold"), F.lit("bounded").alias("role")))
+    return settle(every.groupBy("fold", "role").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("level").alias("levels"), F.min("id").alias("first")
+    ))
