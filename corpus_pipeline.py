@@ -3,6 +3,15 @@
 Toxic documents go, one document of each near-duplicate group stays, documents
 that hold benchmark passages go, sources are mixed to their target weights,
 and the mix is cut into shards that all match it.
+
+Rules for odd input: null and empty texts are not toxic, are near-duplicates of
+each other (one stays) and are clean; the mix takes no document without words.
+A null id or source is a value of its own. Repeated rows are near-duplicates;
+of a group the smallest id stays. Very long texts are read whole. Further
+columns of the documents pass through all stages whatever their names, but the
+last one adds ``shard`` and ``slot`` in place of ones so named. Empty tables
+give an empty result. A stage that loses executors is computed again from the
+table that the stage before it wrote.
 """
 
 from __future__ import annotations
