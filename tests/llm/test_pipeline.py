@@ -43,3 +43,27 @@ def test_stages(spark, sf_dir):
 def test_run_goes_through_all_stages(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns[-2:] == ["shard", "slot"] and out.count() > 0
+
+
+def through_all_stages(spark, docs, sf_dir):
+    for _, run_stage in corpus_pipeline.STAGES:
+        docs = stage(run_stage(spark, docs, sf_dir), "test-stage")
+    return docs
+
+
+def test_odd_rows_go_through_all_stages(spark, sf_dir, odd):
+    """Null and empty texts, null ids and sources, repeats, a long text and columns named like working columns."""
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = given.withColumn("doc_id", F.col("doc_id") + 1000).unionByName(odd, allowMissingColumns=True)
+    out = through_all_stages(spark, docs, sf_dir)
+    assert out.columns == [*[c for c in docs.columns if c != "shard"], "shard", "slot"]
+    rows = out.filter("_group is not null").collect()
+    assert {r.doc_id for r in rows} == {1, None, 7, 8}  # one of the equal ones; none without words
+    assert all(r.row in ("x", "y", "z") for r in rows)
+    slots = Counter((r.shard, r.slot) for r in out.select("shard", "slot").collect())
+    assert set(slots.values()) == {1}
+
+
+def test_empty_documents_go_through_all_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    assert through_all_stages(spark, docs, sf_dir).columns == [*docs.columns, "shard", "slot"]
