@@ -39,6 +39,34 @@ def dedup_first(df: DataFrame, subset: Sequence[str], order_key: str | Sequence[
     return first.select(*(F.col(c) if c in subset else F.col(f"_first.`{c}`") for c in df.columns))
 
 
+def dedup_first_number(df: DataFrame, subset: Sequence[str], order_key: str) -> DataFrame:
+    """:func:`dedup_first` for an integer ``order_key``, by hash aggregation over fixed-width values.
+
+    Keys of any types meet as a 128-bit hash, and a group's buffer holds numbers
+    only, so Spark keeps groups in a hash map instead of sorting rows by text.
+    A further hash tells whether different keys fell together. Such groups, and
+    groups whose least order value several rows share, go through
+    :func:`dedup_first` in a second pass. A missing order value comes first, as there.
+    """
+    marks = [m for c in subset for m in (F.col(c), F.col(c).isNull())]
+    order = F.coalesce(F.col(order_key).cast("bigint"), F.lit(-(1 << 63)))
+    hashes = {f"_h{k}": F.xxhash64(F.lit(k), *marks) for k in range(3)}
+    keyed = df.withColumns({**hashes, "_order": order})
+    group = ["_h0", "_h1"]
+    firsts = stage(keyed.groupBy(*group).agg(
+        F.min("_order").alias("_order"), (F.min("_h2") != F.max("_h2")).alias("_clash")
+    ), "dedup-firsts")
+    kept = stage(keyed.join(firsts.filter(~F.col("_clash")).drop("_clash"), [*group, "_order"]), "dedup-kept")
+    parts = [kept]
+    tied = kept.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
+    clashed = firsts.filter("_clash").select(*group)
+    if not tied.isEmpty():
+        parts = [kept.join(tied, group, "left_anti"), dedup_first(kept.join(tied, group, "left_semi").select(*df.columns), subset, order_key)]
+    if not clashed.isEmpty():
+        parts.append(dedup_first(keyed.join(clashed, group, "left_semi").select(*df.columns), subset, order_key))
+    return concat_rows([p.select(*df.columns) for p in parts])
+
+
 @dataclass(frozen=True)
 class Cut:
     """Rows with ``(split_hash(key, seed), key) <= (threshold, last_key)`` are inside."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spantab.operators import splits as S
 from spantab.operators.cleaning import mark_exact
-from spantab.plans.proxy import CATEGORICAL, NUMERICAL, TYPED_SQL, typed
+from spantab.plans.proxy import CATEGORICAL, NUMERICAL, TYPED_SQL, table, typed
 from spantab.plans.registry import big, query, r6, settle
 from spantab.staging import stage
 
@@ -48,6 +48,20 @@ def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(S.dedup_first(rows, DEDUP_KEY, "id"))
 
 
+_ORDER_KEY = ("o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(
+    "c1_first_by_number",
+    f"SELECT {big('o_orderkey')} AS o_orderkey, {big('o_custkey')} AS o_custkey, o_orderstatus, o_orderpriority,"
+    f" {r6('o_totalprice')} AS o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY {', '.join(_ORDER_KEY)}"
+    " ORDER BY o_orderkey) = 1",
+)
+def c1_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", *_ORDER_KEY, "o_totalprice")
+    return settle(S.dedup_first_number(rows, _ORDER_KEY, "o_orderkey"))
+
+
 @query("c2_holdout", _TYPED + "," + SPLITS_SQL + "SELECT id, is_test FROM h")
 def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.holdout(typed(spark, sf_dir).select("id"), "id").distinct()

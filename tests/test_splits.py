@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,33 @@ def test_rows_without_a_key_belong_to_no_set(spark):
     plan = S.fit_splits(df, "id", n=2)
     roles = plan.with_role(df, 0).collect()
     assert all((r.role is None) == (r.id is None) for r in roles)
+
+
+def _repeats(spark):
+    rng = random.Random(21)
+    rows = [(rng.choice(["a", "b", None, ""]), rng.choice([None, "a", "x"]), rng.choice([None, 1, 2, 3, 4]), i % 50 or None, f"p{i}")
+            for i in range(900)]
+    return spark.createDataFrame(rows, "k string, l string, m int, o int, payload string").repartition(5)
+
+
+def test_first_by_number_equals_first(spark, monkeypatch):
+    df = _repeats(spark)  # 50 order values for 900 rows: many ties
+    want = sorted(map(repr, S.dedup_first(df, ["k", "l", "m"], "o").collect()))
+    assert sorted(map(repr, S.dedup_first_number(df, ["k", "l", "m"], "o").collect())) == want
+    plain = F.xxhash64
+    # the two group hashes clash for all keys with one value of m; the third one tells
+    monkeypatch.setattr(F, "xxhash64", lambda k, *c: plain(k, c[4]) if k._jc.toString() != "2" else plain(k, *c))
+    assert sorted(map(repr, S.dedup_first_number(df, ["k", "l", "m"], "o").collect())) == want
+
+
+def test_first_by_number_does_not_sort_groups(spark):
+    df = spark.range(5000).select((F.col("id") % 700).cast("string").alias("k"), "id", F.col("id").cast("string").alias("v"))
+    spark.sparkContext.setJobGroup("plans", "plans")
+    out = S.dedup_first_number(df, ["k"], "id")
+    assert out.count() == 700 and out.agg(F.max("id")).first()[0] == 699
+    marks = [F.col("k"), F.col("k").isNull()]
+    grouped = df.groupBy(F.xxhash64(F.lit(0), *marks), F.xxhash64(F.lit(1), *marks)).agg(F.min("id"), F.min(F.xxhash64(F.lit(2), *marks)))
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in S.dedup_first(df, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
