@@ -92,10 +92,10 @@ def test_nan_report(spark):
     assert got == {"v": 1, "l": 1}
 
 
-@pytest.mark.parametrize("bins,limit", [(4096, 100_000), (4, 3)])
-def test_exact_median(spark, monkeypatch, bins, limit):
-    monkeypatch.setattr(Q, "BINS", bins)
-    monkeypatch.setattr(Q, "SORT_LIMIT", limit)
+@pytest.mark.parametrize("bins", [4096, 4])
+def test_exact_median(spark, monkeypatch, bins):
+    monkeypatch.setattr(Q, "RANGE_BINS", bins)
+    monkeypatch.setattr(Q, "MIN_BINS", min(bins, Q.MIN_BINS))
     rng = np.random.default_rng(1)
     heavy = np.concatenate([np.exp(rng.normal(0, 8, 301)), np.full(150, 2.0)])
     even = rng.integers(0, 9, 200).astype(float)
