@@ -251,6 +251,59 @@ def test_main_text_without_an_article():
         assert isinstance(html_text.main_text(odd), str)
 
 
+def test_main_text_keeps_whole_articles():
+    text = "The cat sat on the mat and it was happy with the sun that came in by the window for all of the day."
+    kept = (
+        "<p><a href=x>A paragraph that is one link, from its first word to the last of them</a></p>",
+        "<p><a href=x>Source</a></p>", "<section class='related-work'><p>Others did this before.</p></section>",
+        "<h2 class='share-price'>The price</h2>", "<div id='search-engine'><p>How it looks things up.</p></div>",
+        "<p class='social-history'>Long ago.</p>",
+    )
+    for part in kept:
+        for page in (f"<article><p>{text}</p>{part}<p>{text}</p></article>", f"<main><p>{text}</p>{part}</main>"):
+            want = [re.sub("<[^>]*>", "", part) if p == part else text for p in re.findall(f"{text}|{re.escape(part)}", page)]
+            assert html_text.main_text(page) == " ".join(want), part
+    for name in ("ad", "share-buttons", "related-posts", "comment-list", "cookie-notice", "newsletter box", "ad-slot-top"):
+        page = f"<article><p>{text}</p><div class='{name}'><p>{text}</p></div><p>End.</p></article>"
+        assert html_text.main_text(page) == f"{text} End.", name
+
+
+def test_main_text_language_by_block():
+    notice = "This is what you have to know of the site and of all that is on it before you go on."
+    first = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏。" * 4
+    second = "云腾致雨露结为霜金生丽水玉出昆冈剑号巨阙珠称夜光。" * 4
+    for page in (f"<p>{notice}</p><div><p>{first}</p><p>{second}</p></div>", f"<div><p>{first}</p><p>{second}</p></div><p>{notice}</p>"):
+        got = html_text.main_text(page)
+        assert first in got and second in got
+    # beside an article such blocks are none of it
+    assert html_text.main_text(f"<div>{first}</div><article><p>{notice}</p></article>") == notice
+    assert html_text.main_text("<nav><a href=x>a</a></nav><div class='post'><p>Kurz und gut</p></div>") == "Kurz und gut"
+    assert html_text.main_text("<nav><a href=x>a</a></nav><div class='cookie'>Kurz</div><p><a href=y>b</a></p>") == ""
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    n = 40_000
+    end = "<p>The end of it all, as it is to be."
+    pages = {
+        "<a " * n: None, "<title>" * n + end: None, "<!" * n: None, "<div>" * n + "</section>" * n + end: None,
+        "<aside><article>" * n: "", "</title" * n: None, '<a "' * n + end: None, "<textarea>" * n + "</textarea": None,
+        "<p>x" * n: " ".join("x" * n), "<div><section>" * n + "</div>" * n + end: None,
+    }
+    for page, want in pages.items():
+        started = time.monotonic()
+        got = html_text.main_text(page)
+        assert time.monotonic() - started < 2, page[:20]
+        assert want is None or got == want, page[:20]
+
+
+def test_unclosed_comments_hide_the_rest():
+    for page in ("<p>Kept.<!-- no > no", "<p>Kept.<!-- no", "<p>Kept.<b></b><![CDATA[ no > no", "<p>Kept.<script> no > no"):
+        assert html_text.main_text(page) == "Kept."
+    assert html_text.main_text("<p>Kept.<!-- no --> Too. <x") == "Kept. Too. <x"
+
+
 def test_pages_equal_their_articles(spark, sf_dir):
     import html
 
