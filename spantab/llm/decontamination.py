@@ -5,15 +5,18 @@ fewer words is one window. Documents are scanned with a rolling hash over their
 words; each hit is verified word by word. Hit words are marked, and documents
 or the hit spans can be removed.
 
-The benchmark is cut into parts of at most ``part_bytes`` of text. One part is
-broadcast at a time, so what a task holds is bounded however large the
-benchmark is; the documents are scanned once per part.
+The benchmark is cut into parts of about ``part_bytes`` of text, and a task
+holds one part: the hits of every part but the first are written, by digest of
+the text, before the next part is broadcast, and meet the documents where the
+first one is looked for. A worker makes the hash set of a part once. The
+documents are scanned once per part; a usual benchmark is one part.
 
 Rules for odd input: null and empty texts have no words and are clean; a null
 item text has no window; an item without an id marks words, but no list of
 items names it; repeated items and rows each count as they stand; an empty
 benchmark leaves every document clean; very long texts are scanned in segments
-that overlap by a window. Added columns replace ones of the same name.
+that overlap by a window; an item longer than a part is a part of its own.
+Added columns replace ones of the same name.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,15 @@ from pyspark.sql.functions import arrow_udf
 
 from spantab.llm.ordering import packed, quoted, unpacked
 from spantab.llm.words import ALPHANUMERIC, fold, segments
+from spantab.staging import stage
 
 N = 10
 #: Benchmark text broadcast at once.
-PART_BYTES = 4 << 20
+PART_BYTES = 16 << 20
+#: Cells of the bit table per window, as a power of two.
+CELL_BITS = 6
+#: Copies of a text meet its hits under so many keys.
+SALTS = 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -49,24 +58,68 @@ def _rolling(hashes: np.ndarray, length: int) -> np.ndarray:
     return total
 
 
+class _Windows:
+    """Windows of one length: sorted hashes, where each window stands in the words, its items, and a bit table."""
+
+    def __init__(self, words: list[bytes], hashes: np.ndarray, starts: np.ndarray, items: np.ndarray, length: int):
+        self.words, self.length = words, length
+        rolled = _rolling(hashes, length)[starts]
+        order = np.argsort(rolled, kind="stable")
+        rolled, starts, self.owners = rolled[order], starts[order], items[order]
+        new = np.r_[True, rolled[1:] != rolled[:-1]]
+        for i in np.flatnonzero(~new).tolist():
+            a, b = int(starts[i]), int(starts[i - 1])
+            new[i] = words[a : a + length] != words[b : b + length]
+        self.bounds = np.r_[np.flatnonzero(new), len(rolled)].astype(np.int32)
+        self.hashes, self.starts = rolled[new], starts[new]
+        bits = max(16, math.ceil(math.log2(len(self.hashes))) + CELL_BITS)
+        self.shift = np.uint64(64 - bits)
+        cells = self.hashes >> self.shift
+        self.table = np.zeros(1 << (bits - 3), np.uint8)
+        np.bitwise_or.at(self.table, cells >> np.uint64(3), _bit(cells))
+
+    def hits(self, words: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Verified hits: the place in ``words`` and the number of the window."""
+        rolled = _rolling(hashes, self.length)
+        cells = rolled >> self.shift
+        places = np.flatnonzero(self.table[cells >> np.uint64(3)] & _bit(cells))
+        found = np.searchsorted(self.hashes, rolled[places])
+        for place, window in zip(places.tolist(), found.tolist()):
+            while window < len(self.hashes) and self.hashes[window] == rolled[place]:
+                start = int(self.starts[window])
+                if words[place : place + self.length] == self.words[start : start + self.length]:
+                    yield place, window
+                window += 1
+
+    def items(self, window: int) -> list[int]:
+        return self.owners[self.bounds[window] : self.bounds[window + 1]].tolist()
+
+
+def _bit(cells: np.ndarray) -> np.ndarray:
+    return np.uint8(1) << (cells & np.uint64(7)).astype(np.uint8)
+
+
 class WindowSet:
-    """The windows of one benchmark part: per length, which items hold a window, and a bit table over hashes."""
+    """The windows of one benchmark part, by length; about 40 bytes a window beside the words."""
 
     def __init__(self, items: list[tuple[str | None, str]], n: int):
-        self.windows: dict[int, dict[tuple[bytes, ...], set[str | None]]] = {}
-        for item, text in items:
-            words = fold(text, ALPHANUMERIC).split()
-            length = min(n, len(words))
-            for i in range(len(words) - length + 1 if length else 0):
-                self.windows.setdefault(length, {}).setdefault(tuple(words[i : i + length]), set()).add(item)
-        self.tables = {}
-        for length, found in self.windows.items():
-            bits = max(16, math.ceil(math.log2(len(found))) + 8)
-            table = np.zeros(1 << bits, bool)
-            for window in found:
-                table[int(_rolling(_word_hashes(list(window)), length)[0]) >> (64 - bits)] = True
-            self.tables[length] = (table, np.uint64(64 - bits))
-        self.longest = max(self.windows, default=0)
+        self.names = [item for item, _ in items]
+        words: list[bytes] = []
+        known: dict[bytes, bytes] = {}
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (_, text) in enumerate(items):
+            at = len(words)
+            words.extend(known.setdefault(w, w) for w in fold(text, ALPHANUMERIC).split())
+            length = min(n, len(words) - at)
+            if length:
+                found.setdefault(length, []).append((at, len(words) - length + 1, k))
+        hashes = _word_hashes(words)
+        self.lengths = {}
+        for length, ranges in found.items():
+            starts = np.concatenate([np.arange(a, b, dtype=np.int32) for a, b, _ in ranges])
+            owners = np.concatenate([np.full(b - a, k, np.int32) for a, b, k in ranges])
+            self.lengths[length] = _Windows(words, hashes, starts, owners, length)
+        self.longest = max(self.lengths, default=0)
 
     def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str]]:
         """Number of words, merged spans of hit words as rows (start, end), items with an occurring window."""
@@ -74,17 +127,14 @@ class WindowSet:
         for new in segments(fold(text, ALPHANUMERIC)):
             base, words = seen - len(kept), kept + new
             hashes = _word_hashes(words)
-            for length, (table, shift) in self.tables.items():
-                if len(words) < length:
-                    continue
-                for i in np.flatnonzero(table[_rolling(hashes, length) >> shift]).tolist():
-                    window = tuple(words[i : i + length])
-                    if window in self.windows[length]:
-                        hits.add(window)
+            for length, windows in self.lengths.items():
+                if len(words) >= length:
+                    for i, window in windows.hits(words, hashes):
+                        hits.add((length, window))
                         spans.append((base + i, base + i + length))
             seen += len(new)
             kept = words[len(words) - self.longest + 1 :] if self.longest > 1 else []
-        items = set().union(*(self.windows[len(w)][w] for w in hits)) - {None}
+        items = {self.names[k] for length, window in hits for k in self.lengths[length].items(window)} - {None}
         return seen, merged(np.array(sorted(spans), np.int64).reshape(-1, 2)), items
 
 
@@ -97,7 +147,8 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.c_[spans[first, 0], reach[np.r_[np.flatnonzero(first)[1:] - 1, len(spans) - 1]]]
 
 
-SCAN_TYPE = "struct<n_words: bigint, spans: array<struct<start: bigint, stop: bigint>>, items: array<string>>"
+SPANS_TYPE = "array<struct<start: bigint, stop: bigint>>"
+SCAN_TYPE = f"struct<n_words: bigint, spans: {SPANS_TYPE}, items: array<string>>"
 _ARROW_SCAN = pa.struct(
     [
         ("n_words", pa.int64()),
@@ -111,7 +162,10 @@ def _scanner(broadcast, n: int):
     """A column function from text to its scan against one broadcast part."""
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        windows = WindowSet(broadcast.value, n)
+        part = broadcast.value
+        if n not in part:  # the value stays with the worker, and with it the set that its first task makes
+            part[n] = WindowSet(part["items"], n)
+        windows = part[n]
         for texts in batches:
             rows = []
             for text in texts:
@@ -127,7 +181,7 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int)
     """The items in parts of about ``part_bytes`` of text; only one part is on the driver at a time."""
     items = benchmark.select(
         quoted(item_col).cast("string").alias("item"), quoted(text_col).alias("text")
-    ).filter("text is not null")
+    ).filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / part_bytes))
     for k in range(parts):
@@ -143,31 +197,45 @@ def scan_documents(
     spark = docs.sparkSession
     found = docs.select(packed(docs))
     text = F.col("row")[text_col]
-    scans = []
-    for k, items in enumerate(_parts(benchmark, item_col, item_text_col, part_bytes)):
-        found = found.withColumn(f"_scan{k}", _scanner(spark.sparkContext.broadcast(items), n)(text))
-        scans.append(F.col(f"_scan{k}"))
-    if len(scans) == 1:
-        spans, items = scans[0]["spans"], scans[0]["items"]
-    else:
-        spans = _merge_spans(F.flatten(F.array(*[s["spans"] for s in scans])))
-        items = F.array_sort(F.array_distinct(F.flatten(F.array(*[s["items"] for s in scans]))))
-    return found.select("row", scans[0]["n_words"].alias("n_words"), spans.alias("spans"), items.alias("items"))
-
-
-def _merge_spans(spans: Column) -> Column:
-    """Spans of several parts as the arrays of one: sorted, overlapping and touching ones made one."""
-    kind = "array<struct<start: bigint, stop: bigint>>"
+    first, hits = None, []
+    for items in _parts(benchmark, item_col, item_text_col, part_bytes):
+        part = spark.sparkContext.broadcast({"items": items})
+        scan = _scanner(part, n)
+        if first is None:
+            first = scan
+            continue
+        scanned = found.select(_digest(text).alias("digest"), scan(text).alias("scan")).filter(F.size("scan.spans") > 0)
+        hits.append(stage(scanned.select("digest", "scan.spans", "scan.items"), "decontamination-hits"))
+        part.destroy()
+    if not hits:
+        return found.select("row", first(text).alias("scan")).select("row", "scan.*")
+    # equal texts have equal hits: one row per text and part, then per text
+    by_part = [h.groupBy("digest").agg(F.first(F.struct("spans", "items")).alias("hit")) for h in hits]
+    others = reduce(DataFrame.unionAll, by_part).groupBy("digest").agg(F.collect_list("hit").alias("hits"))
+    salted = others.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = found.select(
+        "row", _digest(text).alias("digest"), (F.spark_partition_id() % SALTS).alias("salt"), first(text).alias("scan")
+    )
+    joined = keyed.join(salted, ["digest", "salt"], "left")
+    here = F.struct(F.col("scan.spans").alias("spans"), F.col("scan.items").alias("items"))
+    every = F.concat(F.array(here), F.coalesce("hits", F.array().cast(joined.schema["hits"].dataType)))
+    spans = arrow_udf(_merge_spans, SPANS_TYPE)(F.flatten(F.transform(every, lambda h: h["spans"])))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform(every, lambda h: h["items"]))))
+    return joined.select("row", F.col("scan.n_words").alias("n_words"), spans.alias("spans"), items.alias("items"))
+
 
-    def add(done: Column, span: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))
-        apart = (F.size(done) == 0) | (span["start"] > last["stop"])
-        return F.when(apart, F.concat(done, F.array(span))).otherwise(
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))
-        )
+def _digest(text: Column) -> Column:
+    """Never null, so that texts without any words keep out of no join."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
+
+def _merge_spans(found: pa.Array) -> pa.Array:
+    """Spans of several parts as the arrays of one: sorted, overlapping and touching ones made one."""
+    rows = []
+    for spans in found.to_pylist():
+        pairs = np.array(sorted((s["start"], s["stop"]) for s in spans), np.int64).reshape(-1, 2)
+        rows.append([{"start": a, "stop": b} for a, b in merged(pairs).tolist()])
+    return pa.array(rows, _ARROW_SCAN.field("spans").type)
 
 
 def hit_words() -> Column:

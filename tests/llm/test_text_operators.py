@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -431,3 +432,41 @@ def test_benchmark_items_without_id(spark):
     found = {r["row"].doc_id: r for r in decontamination.scan_documents(docs, bench).collect()}
     assert [tuple(s) for s in found[1]["spans"]] == [(1, 12)] and found[1]["items"] == [] and not found[2]["spans"]
     assert [r.doc_id for r in decontamination.remove_contaminated(docs, bench).collect()] == [2]
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With few hash values windows collide; each is still verified and keeps its own items."""
+    monkeypatch.setattr(decontamination, "_rolling", lambda h, n: np.full(len(h) - n + 1, 5 << 60, np.uint64))
+    found = decontamination.WindowSet([("a", "x y"), ("b", "z z"), ("c", "x y"), (None, "p q"), ("d", "one")], 2)
+    assert found.scan("x y z z p q")[2] == {"a", "b", "c"}
+    assert found.scan("x y z z p q")[1].tolist() == [[0, 6]] and found.scan("q p one")[1].tolist() == [[2, 3]]
+    assert found.scan("y x z")[2] == set()
+
+
+def test_window_sets_stay_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    text = " ".join(f"w{k}" for k in rng.integers(0, 50_000, 300_000))
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    windows = decontamination.WindowSet([("a", text)], 10)
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert held < 100 * 300_000
+    assert windows.scan("no " * 20 + " ".join(text.split()[1000:1040]))[1].tolist() == [[20, 60]]
+
+
+def test_decontamination_in_parts_holds_one_part(spark):
+    """Hits of ten parts equal those of one, and no plan looks for more than one part at a time."""
+    items = [(f"i{k}", " ".join(f"a{k}b{j}" for j in range(14))) for k in range(60)] + [(None, "loose words")]
+    texts = [f"x {t} y" for _, t in items] + ["clean text"] * 40 + [items[3][1] + " . " + items[4][1]] * 40 + [None, ""]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    scans = {}
+    for part_bytes in (1 << 20, 400):
+        found = decontamination.scan_documents(docs, bench, part_bytes=part_bytes)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("scan(") == 1
+        scans[part_bytes] = sorted((r["row"].doc_id, r.n_words, r.spans, r["items"]) for r in found.collect())
+    assert scans[400] == scans[1 << 20] and len(scans[400]) == len(texts)
