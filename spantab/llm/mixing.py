@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spantab.llm.ordering import (
-    BLOCKS,
+    NARROW_ROWS,
+    TEXT_ROWS,
+    block_count,
     block_offsets,
     group_key,
     hash_block,
@@ -75,12 +77,16 @@ def source_targets(
 def queue_documents(
     docs: DataFrame, id_col: str, source_col: str, size: Column, seed: int = SEED,
     weights: Sequence[int] = WEIGHTS, share: float = BUDGET_SHARE, epochs: int = EPOCHS, contents: str | None = None,
+    blocks: int = 1024,
 ) -> DataFrame:
-    """Each document as ``row`` with ``_size, _group, _source_size, _target`` and ``_end``: words queued up to its end."""
+    """Each document as ``row`` with ``_size, _group, _source_size, _target`` and ``_end``: words queued up to its end.
+
+    The places do not depend on ``blocks``, which are in the order of the shuffle.
+    """
     keyed = docs.select(
         packed(docs), size.alias("_size"), group_key(quoted(source_col)).alias("_group"),
         shuffle_key(quoted(id_col), seed).alias("_key"),
-    ).withColumn("_block", hash_block(F.col("_key")))
+    ).withColumn("_block", hash_block(F.col("_key"), blocks))
     narrow = keyed.select("_group", "_block", "_size")
     offsets = block_offsets(narrow, "_group", "_block", "_size").join(
         source_targets(narrow, weights, share, epochs), "_group"
@@ -118,7 +124,8 @@ def mix_words(
     narrow = stage(
         docs.select(quoted(id_col).alias("id"), quoted(source_col).alias("source"), size.alias("words")), "mix-sizes"
     )
-    queued = queue_documents(narrow, "id", "source", F.col("words"), seed, weights, share, epochs)
+    blocks = block_count(narrow.count(), NARROW_ROWS)
+    queued = queue_documents(narrow, "id", "source", F.col("words"), seed, weights, share, epochs, blocks=blocks)
     numbered = queued.withColumn(
         "_slot",
         F.row_number().over(Window.partitionBy("_group", "_block").orderBy("_end", "_key", "row.id")),
@@ -127,7 +134,7 @@ def mix_words(
         F.col("row.id").alias("id"), "_group", "_block", "_slot", "_size", "_source_size", "_target",
         F.explode(_pieces(epochs)).alias("p"),
     ).select("*", "p.*").drop("p")
-    pieces = stage(pieces.withColumn("_time", _time_block(F.col("finish"))), "mix-queue")
+    pieces = stage(pieces.withColumn("_time", _time_block(F.col("finish"), blocks)), "mix-queue")
     starts = _mix_starts(pieces.filter("taken > 0"))
     untaken = pieces.filter("not taken > 0").withColumn("mix_start", F.lit(None).cast("long"))
     return (
@@ -141,9 +148,9 @@ def mix_words(
     )
 
 
-def _time_block(finish: Column) -> Column:
+def _time_block(finish: Column, blocks: int) -> Column:
     """Sources serve evenly over virtual time, so equal slices of it hold about equal words."""
-    return F.least(F.lit(BLOCKS - 1), F.greatest(F.lit(0), F.floor(finish * BLOCKS))).cast("int")
+    return F.least(F.lit(blocks - 1), F.greatest(F.lit(0), F.floor(finish * blocks))).cast("int")
 
 
 def _mix_starts(pieces: DataFrame) -> DataFrame:
@@ -152,7 +159,7 @@ def _mix_starts(pieces: DataFrame) -> DataFrame:
     Targets add up to the budget, so what is taken before them is the mix truncated at the budget.
     """
     sums = pieces.groupBy("_time").agg(F.sum("taken").alias("_sum"))
-    # one row per slice of virtual time, BLOCKS at most
+    # one row per slice of virtual time
     slices = Window.orderBy("_time").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_time", F.coalesce(F.sum("_sum").over(slices), F.lit(0)).cast("long").alias("_earlier"))
     inside = running_in_block(("_time",), ("finish", "_group", "epoch", "_block", "_slot"), "taken")
@@ -179,7 +186,8 @@ def _first_left_out(narrow: DataFrame, options: dict) -> tuple[float, str, int]
     The copies are sorted by range; totals of earlier ranges carry into the one
     where the budget ends, and only that one is summed row by row.
     """
-    queued = queue_documents(narrow, "id", "source", F.col("row_words"), contents="contents", **options)
+    blocks = block_count(narrow.count(), NARROW_ROWS)
+    queued = queue_documents(narrow, "id", "source", F.col("row_words"), contents="contents", blocks=blocks, **options)
     copies = queued.select("_group", "_size", F.explode(_copies(options["epochs"])).alias("c")).select("_group", "_size", "c.*")
     sorted_copies = copies.repartitionByRange("finish", "_group", "end").withColumn("_range", F.spark_partition_id())
     sorted_copies = stage(sorted_copies, "mix-order")
@@ -224,7 +232,8 @@ def mix_documents(
         "mix-sizes",
     )
     cut = _first_left_out(narrow, options)
-    queued = queue_documents(docs, id_col, source_col, size, **options)
+    blocks = block_count(narrow.count(), TEXT_ROWS)
+    queued = queue_documents(docs, id_col, source_col, size, blocks=blocks, **options)
     placed = queued.withColumn("_copy", F.explode(_copies(epochs)))
     if cut is not None:
         finish, group, end = F.col("_copy.finish"), F.col("_group"), F.col("_copy.end")

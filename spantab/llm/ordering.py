@@ -2,18 +2,28 @@
 
 A running total over a group in shuffled order is taken in two steps: sums of
 hash blocks (a map-side combined aggregate), then a window inside one block.
-A source with a third of all rows is thus spread over ``BLOCKS`` keys.
+The number of blocks follows the number of rows, so a block has a bounded share
+of them, however many rows its source has.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash blocks of one group. A block of a source of 10**10 rows has 10**7 narrow rows, which sort in one task.
-BLOCKS = 1024
+#: Fewest hash blocks of one group, and most rows of a block that are meant: narrow ones, and ones with texts.
+BLOCKS = 64
+NARROW_ROWS = 1 << 18
+TEXT_ROWS = 1 << 13
+KEY_BITS = 60
+
+
+def block_count(rows: int, per_block: int) -> int:
+    """The power of two of blocks that hold about ``per_block`` of so many rows each."""
+    return max(BLOCKS, 1 << max(0, math.ceil(rows / per_block) - 1).bit_length())
 
 
 def quoted(name: str) -> Column:
@@ -36,9 +46,9 @@ def shuffle_key(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
-def hash_block(key: Column) -> Column:
-    """Block 0..BLOCKS-1 of a shuffle key; blocks are in key order."""
-    return F.shiftright(key, 50).cast("int")
+def hash_block(key: Column, blocks: int) -> Column:
+    """Block 0..blocks-1 (a power of two) of a shuffle key; blocks are in key order."""
+    return F.shiftright(key, KEY_BITS - blocks.bit_length() + 1).cast("int")
 
 
 def group_key(col: Column) -> Column:

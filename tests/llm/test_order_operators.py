@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from spantab.llm import mixing, sharding
+from spantab.llm import mixing, ordering, sharding
 
 
 def _water_level(sizes: dict, weights: dict, budget: float) -> dict:
@@ -115,3 +115,43 @@ def test_sharding_odd_input(odd, nothing):
     assert len(rows) == odd.count() and Counter(r.shard for r in rows).most_common(1)[0][1] <= 2
     assert sharding.shard_rows(nothing).count() == 0
     assert sharding.shard_rows(odd.limit(1)).select("shard", "slot").first() == (0, 0)
+
+
+@pytest.mark.parametrize(("wide", "long_rows"), [(256, 1 << 30), (256, 10), (2, 1 << 30)])
+def test_shards_equal_a_plain_sort(spark, monkeypatch, wide, long_rows):
+    """Whether places are computed, in longs or decimals, or sorted, they are those of one sorted list."""
+    monkeypatch.setattr(sharding, "WIDE", wide)
+    monkeypatch.setattr(sharding, "LONG_ROWS", long_rows)
+    monkeypatch.setattr(sharding, "TEXT_ROWS", 2)
+    sizes = {None: 6, "a": 1, "b": 300, "c": 6, "d": 90, "e": 2, "f": 300, "": 3}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id int, source string").repartition(5)
+    keyed = docs.withColumn("k", sharding.shuffle_key(F.col("doc_id"), sharding.SEED)).collect()
+    places = []
+    for source, n in sizes.items():
+        mine = sorted((r.k, r.doc_id) for r in keyed if r.source == source)
+        places += [((2 * r - 1) / (2 * n), source is None, source or "", doc) for r, (_, doc) in enumerate(mine, 1)]
+    want = {doc: (i * 8 // len(rows)) for i, (*_, doc) in enumerate(sorted(places))}
+    got = sharding.shard_rows(docs).collect()
+    assert {r.doc_id: r.shard for r in got} == want
+    starts = {s: min(i for i, (*_, doc) in enumerate(sorted(places)) if want[doc] == s) for s in range(8)}
+    assert {r.doc_id: r.slot + starts[r.shard] for r in got} == {doc: i for i, (*_, doc) in enumerate(sorted(places))}
+
+
+def test_texts_move_once_in_blocks_that_follow_the_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for result in (sharding.shard_rows(docs), mixing.mix_documents(docs)):
+        lines = result._jdf.queryExecution().sparkPlan().toString().split("\n")
+        assert sum("Window " in line and "row#" in line for line in lines) == 1
+    assert ordering.block_count(10**10, ordering.TEXT_ROWS) * ordering.TEXT_ROWS >= 10**10
+    assert ordering.block_count(0, 10) == ordering.block_count(5, 10) == ordering.BLOCKS
+
+
+def test_places_do_not_depend_on_blocks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    size = mixing.word_count("text")
+    ends = [
+        sorted((r["row"].doc_id, r["_end"]) for r in mixing.queue_documents(docs, "doc_id", "source", size, blocks=b).collect())
+        for b in (64, 1 << 16)
+    ]
+    assert ends[0] == ends[1]
