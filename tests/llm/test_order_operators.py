@@ -142,7 +142,7 @@ def test_texts_move_once_in_blocks_that_follow_the_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for result in (sharding.shard_rows(docs), mixing.mix_documents(docs)):
         lines = result._jdf.queryExecution().sparkPlan().toString().split("\n")
-        assert sum("Window " in line and "row#" in line for line in lines) == 1
+        assert sum("Window " in line and "_key#" in line for line in lines) == 1
     assert ordering.block_count(10**10, ordering.TEXT_ROWS) * ordering.TEXT_ROWS >= 10**10
     assert ordering.block_count(0, 10) == ordering.block_count(5, 10) == ordering.BLOCKS
 
