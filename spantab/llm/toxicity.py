@@ -14,7 +14,7 @@ chosen by a hash; every text is scored whole.
 
 Rules for odd input: null and empty texts have no window and are scored as
 such; rows without an id are never training rows; of several labels of one id
-any toxic one counts; without both classes in training every score is 0 (1 if
+any toxic one counts, of several texts the least one; without both classes in training every score is 0 (1 if
 only toxic rows are known); repeated rows get equal scores; other columns pass
 through (``score`` and ``predicted`` replace ones of these names).
 """
@@ -150,7 +150,7 @@ def _alike(a: str, b: str) -> bool:
     return a == b or (len(a) >= STEMS[0] and b.startswith(a))
 
 
-def _markers(counts: DataFrame, own: str, other: str, n_own: int, n_other: int) -> list[str]:
+def _markers(counts: DataFrame, own: str, other: str, n_own: int, n_other: int, most: int) -> list[str]:
     """Units far more frequent in texts of one class, the strongest first; none begins like a stronger one."""
     share = (F.col(own) + F.col(other)) / (n_own + n_other)
     deviation = F.sqrt(share * (1 - share) * n_own * n_other / (n_own + n_other))
@@ -159,10 +159,12 @@ def _markers(counts: DataFrame, own: str, other: str, n_own: int, n_other: int)
     strong = counts.filter(lift & (F.col(own) >= MARKER_TEXTS)).withColumn("score", score)
     strong = strong.filter(F.col("score") >= MARKER_DEVIATIONS)
     # a whole word and its beginnings may all be strong: equal scores go to the longest
-    ranked = strong.orderBy(F.desc("score"), F.desc(F.char_length("unit")), "unit").limit(MARKERS * (len(STEMS) + 1))
+    ranked = strong.orderBy(F.desc("score"), F.desc(F.char_length("unit")), "unit")
     chosen: list[str] = []
-    for unit in (r.unit for r in ranked.collect()):
-        if len(chosen) < MARKERS and not any(_alike(unit, c) for c in chosen):
+    for unit in (r.unit for r in ranked.select("unit").toLocalIterator()):
+        if len(chosen) == most:
+            break
+        if not any(_alike(unit, c) for c in chosen):
             chosen.append(unit)
     return [c.strip() + " " * c.endswith(" ") for c in chosen]
 
@@ -172,7 +174,23 @@ def _holds(word: str, marker: str) -> bool:
     return marker in word if len(marker) >= STEMS[0] else marker == word.strip()
 
 
-def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def _dictionaries(
+    counts: DataFrame, n_plain: int, n_toxic: int, base_words: int, markers: int
+) -> tuple[list[str], list[str], list[str]]:
+    """Common words, markers of ordinary and of toxic texts, from the texts of each class that hold a unit."""
+    marked = _markers(counts, "toxic", "plain", n_toxic, n_plain, markers)
+    ordinary = _markers(counts, "plain", "toxic", n_plain, n_toxic, markers)
+    words = counts.filter(F.endswith("unit", F.lit(" ")))
+    by_use = words.orderBy(F.desc(F.col("plain") + F.col("toxic")), "unit").limit(2 * base_words + 2 * markers)
+    marking = [m.strip() for m in (*marked, *ordinary)]
+    common = [r.unit.strip() for r in by_use.collect() if not any(_holds(r.unit, m) for m in marking)][:base_words]
+    return common, ordinary, marked
+
+
+def fit(
+    training: DataFrame, text_col: str = "text", label_col: str = "toxic", base_words: int = BASE_WORDS,
+    markers: int = MARKERS,
+) -> ToxicityModel:
     """Learn both dictionaries and the calibration from rows of text and label (1 toxic, 0 not)."""
     rows = training.select(quoted(text_col).alias("text"), quoted(label_col).cast("int").alias("y"))
     rows = rows.filter("text is not null and y is not null").withColumn("copy", _copy_key(F.col("text")))
@@ -186,12 +204,7 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -
         F.sum(1 - F.col("y")).alias("plain"), F.sum("y").alias("toxic")
     )
     counts = stage(counts.filter(F.col("plain") + F.col("toxic") >= MARKER_TEXTS), "toxicity-units")
-    toxic = _markers(counts, "toxic", "plain", n_toxic, n_plain)
-    ordinary = _markers(counts, "plain", "toxic", n_plain, n_toxic)
-    words = counts.filter(F.endswith("unit", F.lit(" ")))
-    by_use = words.orderBy(F.desc(F.col("plain") + F.col("toxic")), "unit").limit(2 * BASE_WORDS + 2 * MARKERS)
-    marking = [m.strip() for m in (*toxic, *ordinary)]
-    common = [r.unit.strip() for r in by_use.collect() if not any(_holds(r.unit, m) for m in marking)][:BASE_WORDS]
+    common, ordinary, toxic = _dictionaries(counts, n_plain, n_toxic, base_words, markers)
     scored = rows.select("y", _feature_column(common, ordinary, toxic)(F.col("text")).alias("x")).collect()
     x, y = np.array([r.x for r in scored]), np.array([r.y for r in scored], float)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -254,7 +267,7 @@ def training_rows(
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     # fit_rows narrow rows at most
-    return texts.join(F.broadcast(known), "id").select("text", "toxic")
+    return texts.join(F.broadcast(known), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
