@@ -333,3 +333,29 @@ class Design:
         extra = {f"_t{i}": term_column(t, df.columns) for i, t in enumerate(self.terms)}
         ready = df.withColumns({**clean, **extra})
         return ready, [*monomials(list(clean), self.degree), *map(F.col, extra)]
+
+
+def design_correlations(df: DataFrame, design: Design, other: Column) -> np.ndarray:
+    """Correlation of every design column with ``other``, over the rows that have it; NaN for a constant one.
+
+    Two scans: rough moments, then sums of the standardised columns.
+    """
+    width = design.width + 1
+    named = [c.cast("double").alias(f"c{i}") for i, c in enumerate([*design.inputs(df.columns), other])]
+    rows, inputs = df.select(*named).filter(F.col(f"c{len(named) - 1}").isNotNull()), [F.col(f"c{i}") for i in range(len(named))]
+
+    def widen(raw: np.ndarray) -> np.ndarray:
+        return np.column_stack([design.expand(raw[:, :-1]), raw[:, -1]])
+
+    _, mean, scale = rough_moments(rows, inputs, widen, width)
+
+    def sums(raw: np.ndarray) -> np.ndarray:
+        s = (widen(raw) - mean) / scale
+        return np.concatenate([[len(s)], s.sum(axis=0), (s * s).sum(axis=0), s.T @ s[:, -1]])
+
+    found = partial_sums(rows, inputs, sums, 3 * width + 1)
+    n, (total, square, joint) = max(found[0], 1.0), found[1:].reshape(3, width)
+    centre = total / n
+    spread = np.sqrt(np.maximum(square / n - centre**2, 0.0))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return ((joint / n - centre * centre[-1]) / (spread * spread[-1]))[:-1]

@@ -1,13 +1,15 @@
-"""Histogram cells of trees against plain loops."""
+"""Histogram cells of trees, and correlations of a design, against plain numpy."""
 
 from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spantab.operators import boosted_trees as BT
+from spantab.operators.linear import Design, design_correlations
 
 ROWS = [(f"k{i}", float(i % 4), [i % 3, i % 5], [0.5, 1.0], [f for f in range(2) if (i + f) % 3]) for i in range(200)]
 
@@ -44,3 +46,19 @@ def test_cells_without_a_row_per_fold_and_feature(spark, monkeypatch, dense):
         assert "Generate" not in plan
         found = made.groupBy("fold", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
         assert {(r["fold"], r["node"], r["feature"], r["bin"]): (r["g"], r["h"]) for r in found} == cells_by_hand(tree, level, drawn)
+
+
+def test_design_correlations_are_those_of_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(50, 4, (300, 2)), 3)
+    r = np.round(x[:, 0] ** 2 - 3 * x[:, 1] + rng.normal(0, 5, 300), 3)
+    df = spark.createDataFrame([(*map(float, row), float(v)) for row, v in zip(x, r)] + [(1.0, 2.0, None)], "a double, b double, r double")
+    found = design_correlations(df.repartition(3), Design(("a", "b"), 2), F.col("r"))
+    wide = Design(("a", "b"), 2).expand(x)
+    assert found == pytest.approx([np.corrcoef(c, r)[0, 1] for c in wide.T], abs=1e-9)
+
+
+def test_a_constant_column_leans_on_nothing(spark):
+    df = spark.createDataFrame([(1.0, float(i)) for i in range(5)], "a double, r double")
+    found = design_correlations(df, Design(("a",), 1), F.col("r"))
+    assert not (np.abs(found) > 1e-6).any()
