@@ -248,8 +248,12 @@ def chunks_to_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     unique = stage(S.dedup_first(rows.select("id", *key, "q_gonality_bounds"), key, "id"), "flow-unique")
     exact_rows, bounded = split_exact_bounded(unique)
     plan = S.fit_splits(exact_rows, "id", n=5, assume_unique=True)
-    placed = exact_rows.select("id", "level", F.explode(plan.placements()).alias("m")).select("id", "level", "m.fold", "m.role")
-    every = placed.unionByName(bounded.select("id", "level", F.lit(-1).alias("fold"), F.lit("bounded").alias("role")))
-    return settle(every.groupBy("fold", "role").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("level").alias("levels"), F.min("id").alias("first")
+    beside = F.array(F.struct(F.lit(-1).alias("fold"), F.lit("bounded").alias("role")))
+    placed = exact_rows.select("id", "level", plan.placements().alias("m"))
+    every = placed.unionByName(bounded.select("id", "level", beside.alias("m")))
+    # Rows are added up by all their places together, and these sums by place: no row is copied for each fold.
+    alike = every.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.sum("level").alias("levels"), F.min("id").alias("first"))
+    single = alike.select(F.explode("m").alias("m"), "n", "levels", "first").select("m.fold", "m.role", "n", "levels", "first")
+    return settle(single.groupBy("fold", "role").agg(
+        F.sum("n").alias("n"), F.sum("levels").alias("levels"), F.min("first").alias("first")
     ))

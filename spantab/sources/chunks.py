@@ -11,8 +11,11 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.csv as pa_csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +37,7 @@ _log = logging.getLogger(__name__)
 CHUNK_FOLDER = "chunk={i}"
 MAX_FILE_BYTES = 1 << 30  # a task holds one file as it is stored
 PARSED_ROWS = 10_000
+BLOCK_BYTES = 1 << 20  # whole lines that are split into cells at once
 LOGGED_FILES = 100
 QUARANTINE = "file string, reason string"
 NULL_TEXT = "None"  # fixed value: how the chunk files spell a missing cell
@@ -218,7 +222,10 @@ def scan_chunks(
     if not files:
         return _logged(ChunkScan(spark.createDataFrame([], T.StructType([])), refused))
     found = spark.read.format("binaryFile").load(files).select("path", "content")
-    lines = stage(found.mapInArrow(_parser(wanted, sep, multiline), _parsed_schema(len(wanted))), "chunk-lines")
+    parsed, cells = found.mapInArrow(_parser(wanted, sep, multiline), _parsed_schema(len(wanted))), [f"c{i}" for i in range(len(wanted))]
+    # Cells are cleaned before they are staged: a filter over cleaning expressions would clean every cell again.
+    clean = nullify_tokens(trim_strings(nullify_tokens(parsed, NA_TOKENS + READER_NA_TOKENS, cells), cells), ("None",), cells)
+    lines = stage(clean, "chunk-lines")
     ends = lines.filter(F.col("reason").isNotNull() | F.col("present").isNotNull()).select("file", "reason", "present")
     broken = ends.filter(F.col("reason").isNotNull()).select("file", "reason")
     quarantine = broken.unionByName(refused)
@@ -227,7 +234,6 @@ def scan_chunks(
     rows = body.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(wanted) if i in here))
     if not here:
         return _logged(ChunkScan(spark.createDataFrame([], T.StructType([])), quarantine))
-    rows = nullify_tokens(trim_strings(nullify_tokens(rows, NA_TOKENS + READER_NA_TOKENS)), ("None",))
     rows = drop_null_rows(rows, [c for i, c in enumerate(wanted) if i in here])
     return _logged(ChunkScan(rows if schema is None else typed_scalars(rows, schema), quarantine))
 
@@ -254,8 +260,8 @@ class _BadFile(Exception):
     pass
 
 
-def _opened(path: str, content: bytes) -> io.TextIOWrapper:
-    """The text of a file, decompressed while it is read."""
+def _opened(path: str, content: bytes) -> io.BufferedIOBase:
+    """The bytes of a file, decompressed while they are read."""
     raw: io.BufferedIOBase = io.BytesIO(content)
     kind = path.rsplit(".", 1)[-1] if "." in path.rsplit("/", 1)[-1] else ""
     if kind == "gz":
@@ -266,13 +272,43 @@ def _opened(path: str, content: bytes) -> io.TextIOWrapper:
         raw = io.BytesIO(zlib.decompress(content))
     elif kind in ("zst", "lz4", "snappy"):
         raise _BadFile(f"compression {kind} is not read")
-    return io.TextIOWrapper(raw, "utf-8", errors="replace", newline="")
+    return raw
 
 
-def _lines(path: str, content: bytes, wanted: Sequence[str], sep: str, multiline: bool) -> Iterator[list]:
-    """First the places of the wanted columns that the header has, then the wanted cells of every line."""
+class _Blocks:
+    """Blocks of whole lines of a file, read one ahead when asked to."""
+
+    def __init__(self, raw: io.BufferedIOBase) -> None:
+        self.raw, self.ahead = raw, None
+
+    def take(self) -> bytes:
+        """The next block; empty at the end."""
+        block, self.ahead = self.ahead, None
+        return self.raw.read(BLOCK_BYTES) + self.raw.readline() if block is None else block
+
+    def look(self) -> bytes:
+        """The block that :meth:`take` gives next."""
+        self.ahead = self.take()
+        return self.ahead
+
+
+def _texts(block: bytes) -> io.StringIO:
+    return io.StringIO(block.decode("utf-8", errors="replace"), newline="")
+
+
+def _lines(
+    path: str, content: bytes, wanted: Sequence[str], sep: str, multiline: bool, whole: bool = False
+) -> Iterator[list]:
+    """First the places of the wanted columns that the header has, then blocks of cells: of every wanted column a list or array.
+
+    The file goes through one CSV reader if ``whole``, if cells may span lines, or if its header is not plain.
+    """
     csv.field_size_limit(1 << 30)
-    reader = csv.reader(_opened(path, content), delimiter=sep, skipinitialspace=True)
+    blocks = _Blocks(_opened(path, content))
+    title, _, block = (b"" if whole else blocks.take()).partition(b"\n")
+    whole = whole or multiline or sep == " " or not sep.isascii() or any(c in title for c in (b'"', b"\r"))
+    first = io.TextIOWrapper(_opened(path, content), "utf-8", errors="replace", newline="") if whole else _texts(title)
+    reader = csv.reader(first, delimiter=sep, skipinitialspace=True)
     header = next(reader, None)
     if not header:
         raise _BadFile("empty file")
@@ -281,18 +317,81 @@ def _lines(path: str, content: bytes, wanted: Sequence[str], sep: str, multiline
     if not places:
         raise _BadFile("no wanted column")
     yield [i for i, _ in places]
+    if whole:
+        yield from _read_cells(reader, len(wanted), places, len(names), multiline, None)
+        return
+    while block or (block := blocks.take()):
+        cells = None if any(c in block for c in (b'"', b"\r", b"\0")) else _split_cells(block, len(wanted), places, len(names), sep)
+        if cells is None:
+            held = _texts(block).readlines()
+            # A cell that is open at the end of the block goes on in the line after it, if there is one.
+            after = (line for line in _texts(blocks.look().partition(b"\n")[0]))
+            lines = csv.reader(chain(held, after), delimiter=sep, skipinitialspace=True)
+            yield from _read_cells(lines, len(wanted), places, len(names), multiline, len(held))
+        else:
+            yield cells
+        block = b""
+
+
+def _split_cells(block: bytes, n: int, places: Sequence[tuple[int, int]], width: int, sep: str) -> list | None:
+    """Cells of lines without quotes that are as long as the header; None if other lines or bad text are among them."""
+    if block.startswith(b"\xef\xbb\xbf"):  # the mark would be taken off, here it is text
+        return None
+    names = [str(k) for k in range(width)]
+    read = pa_csv.ReadOptions(use_threads=False, block_size=len(block) + 1, column_names=names)
+    parse = pa_csv.ParseOptions(delimiter=sep, quote_char=False, double_quote=False, escape_char=False)
+    kinds = {names[at]: pa.string() for _, at in places}
+    convert = pa_csv.ConvertOptions(column_types=kinds, include_columns=list(kinds), strings_can_be_null=False)
+    try:
+        table = pa_csv.read_csv(pa.BufferReader(block), read, parse, convert).combine_chunks()
+    except pa.ArrowInvalid:
+        return None
+    out: list = [pa.nulls(table.num_rows, pa.string())] * n
+    for i, at in places:
+        cells = pc.utf8_ltrim(table.column(names[at]), " ")
+        cells = pc.if_else(pc.equal(cells, ""), pa.scalar(None, pa.string()), cells)
+        out[i] = cells.chunk(0) if cells.num_chunks == 1 else pa.concat_arrays(cells.chunks or [pa.array([], pa.string())])
+    return out
+
+
+def _read_cells(
+    reader, n: int, places: Sequence[tuple[int, int]], width: int, multiline: bool, end: int | None
+) -> Iterator[list]:
+    """Cells of the lines of a reader, up to so many of its lines if ``end`` is given."""
+    rows: list[list] = []
     read = reader.line_num
-    for line in reader:
+    while end is None or read < end:
+        line = next(reader, None)
+        if line is None:
+            break
         if not multiline and reader.line_num > read + 1:
             raise _BadFile("a quoted cell goes on in the next line")
         read = reader.line_num
-        if any(line[len(names) :]):
+        if any(line[width:]):
             raise _BadFile("a line is longer than the header")
         if line:
-            out: list[str | None] = [None] * len(wanted)
+            out: list[str | None] = [None] * n
             for i, at in places:
                 out[i] = line[at] or None if at < len(line) else None
-            yield out
+            rows.append(out)
+        if len(rows) == PARSED_ROWS:
+            yield [list(c) for c in zip(*rows)]
+            rows = []
+    if rows:
+        yield [list(c) for c in zip(*rows)]
+
+
+_BROKEN = (_BadFile, csv.Error, EOFError, OSError, zlib.error)
+
+
+def _reason(path: str, content: bytes, wanted: Sequence[str], sep: str, multiline: bool) -> str:
+    """What is the first thing wrong with a file, read line by line."""
+    try:
+        for _ in _lines(path, content, wanted, sep, multiline, whole=True):
+            pass
+    except _BROKEN as error:
+        return f"{error}" if isinstance(error, _BadFile) else "broken file"
+    return "broken file"
 
 
 def _parser(wanted: Sequence[str], sep: str, multiline: bool):
@@ -300,28 +399,28 @@ def _parser(wanted: Sequence[str], sep: str, multiline: bool):
     names = ["file", "reason", "present", *(f"c{i}" for i in range(len(wanted)))]
     kinds = [pa.string(), pa.string(), pa.list_(pa.int32()), *[pa.string()] * len(wanted)]
 
-    def batch_of(rows: list[list]) -> pa.RecordBatch:
-        columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+    def batch_of(path: str, cells: Sequence) -> pa.RecordBatch:
+        cells = [c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for c in cells]
+        n = len(cells[0])
+        front = [pa.repeat(pa.scalar(path, pa.string()), n), pa.nulls(n, kinds[1]), pa.nulls(n, kinds[2])]
+        return pa.RecordBatch.from_arrays([*front, *cells], names)
+
+    def last(path: str, reason: str | None, present: list[int] | None) -> pa.RecordBatch:
+        row = [path, reason, present, *[None] * len(wanted)]
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blank = [None] * len(wanted)
         for batch in batches:
             for k in range(batch.num_rows):
                 path, content = batch.column("path")[k].as_py(), batch.column("content")[k].as_py()
-                rows, present = [], None
                 try:
                     lines = _lines(path, content, wanted, sep, multiline)
                     present = next(lines)
                     for cells in lines:
-                        rows.append([path, None, None, *cells])
-                        if len(rows) == PARSED_ROWS:
-                            yield batch_of(rows)
-                            rows = []
-                    rows.append([path, None, present, *blank])
-                except (_BadFile, csv.Error, EOFError, OSError, zlib.error) as error:
-                    rows.append([path, f"{error}" if isinstance(error, _BadFile) else "broken file", None, *blank])
-                yield batch_of(rows)
+                        yield batch_of(path, cells)
+                    yield last(path, None, present)
+                except _BROKEN:
+                    yield last(path, _reason(path, content, wanted, sep, multiline), None)
 
     return run
 

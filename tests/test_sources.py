@@ -213,3 +213,47 @@ def test_staging_needs_a_shared_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging.staging_root(Session())
+
+
+def test_split_blocks_equal_lines_read_one_by_one(spark, tmp_path, monkeypatch):
+    """Cells are the same whether lines go through the CSV reader or are split by blocks, in blocks of any size."""
+    text = 'k; a;b\n1;  x y ;\n2;"q;""r";é\n\n3;s\n  \n4;t;u;;\n5;\t;v\r\n6; w;"z"\n﻿7;l;m'
+    wanted = ["a", "absent", "k", "b"]
+
+    def cells(whole, size):
+        monkeypatch.setattr(A, "BLOCK_BYTES", size)
+        present, *blocks = A._lines("f.csv", text.encode() + b"\n8;\xff;n", wanted, ";", False, whole=whole)
+        plain = [[c.to_pylist() if hasattr(c, "to_pylist") else list(c) for c in b] for b in blocks]
+        return present, [row for b in plain for row in zip(*b)]
+
+    expected = cells(True, 1 << 20)
+    assert expected[1][1] == ('q;"r', None, "2", "é")
+    for size in (1, 5, 12, 1 << 20):
+        assert cells(False, size) == expected
+
+
+@pytest.mark.parametrize("body, reason", [
+    ("1;2\n3;4;5\n", "a line is longer than the header"),
+    ('1;2\n3;"4\n5;6\n', "a quoted cell goes on in the next line"),
+])
+@pytest.mark.parametrize("size", [1, 8, 1 << 20])
+def test_reasons_do_not_follow_from_blocks(monkeypatch, body, reason, size):
+    monkeypatch.setattr(A, "BLOCK_BYTES", size)
+    assert A._reason("f.csv", b"a;b\n" + body.encode(), ["a"], ";", False) == reason
+    with pytest.raises(A._BadFile, match=reason):
+        list(A._lines("f.csv", b"a;b\n" + body.encode(), ["a"], ";", False))
+
+
+def test_plain_lines_are_split_by_blocks(monkeypatch):
+    monkeypatch.setattr(A, "_read_cells", lambda *a: pytest.fail("lines were read one by one"))
+    _, cells = A._lines("f.csv", b"a;b\n1;x\n2;\n", ["b", "a"], ";", False)
+    assert [c.to_pylist() for c in cells] == [["x", None], ["1", "2"]]
+
+
+def test_cells_are_cleaned_once(spark, tmp_path):
+    """The filter on missing cells reads cleaned cells instead of cleaning them again."""
+    (tmp_path / "chunk=0").mkdir()
+    (tmp_path / "chunk=0" / "f.csv").write_text("a;b\n1 ; None\n2;x \n")
+    rows = A.combine_chunks(spark, [str(tmp_path / "chunk=0")], ["a", "b"], [])
+    assert [tuple(r) for r in rows.collect()] == [("2", "x")]
+    assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
