@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spantab.functions.scalars import clean_double
+from spantab.staging import held
 
 # The configured tree parameters.
 DEFAULTS = {"maxDepth": 10, "stepSize": 0.02, "maxIter": 600, "subsamplingRate": 0.6, "seed": 42}
@@ -33,7 +34,9 @@ def gbt_fit(df: DataFrame, features: Sequence[str], target: str, **params) -> Pi
         featuresCol=_FEATURES, labelCol="_label", predictionCol="p", featureSubsetStrategy=FEATURE_SHARE,
         **{**DEFAULTS, **params},
     )
-    model = trees.fit(assembler.transform(clean))
+    # Each pass that counts, samples and bins the rows would read and parse them again; held rows keep their order.
+    with held(clean, [F.col(c) for c in clean.columns]) as rows:
+        model = trees.fit(assembler.transform(rows))
     return PipelineModel([assembler, model])
 
 

@@ -197,3 +197,18 @@ def test_trees_without_rows(spark):
     empty = spark.createDataFrame([], "key string, a double, y double")
     model = fit_trees(empty, ["a"], "y", "key", F.array(F.lit(0)), 1, TreeSettings(trees=1, depth=1))
     assert model.fitted == (False,)
+
+
+def test_trees_read_their_rows_once(spark):
+    """Counting, sampling and binning share one evaluation of the rows."""
+    from spantab.operators.trees import gbt_fit
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(x: float) -> float:
+        seen.add(1)
+        return x
+
+    rows = spark.range(40).select(F.udf(noted, "double")(F.col("id").cast("double")).alias("a"), F.col("id").alias("y"))
+    gbt_fit(rows, ["a"], "y", maxDepth=1, maxIter=2)
+    assert seen.value == 40
