@@ -257,3 +257,19 @@ def test_cells_are_cleaned_once(spark, tmp_path):
     rows = A.combine_chunks(spark, [str(tmp_path / "chunk=0")], ["a", "b"], [])
     assert [tuple(r) for r in rows.collect()] == [("2", "x")]
     assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_splits_are_written_without_sorting(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen = []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (
+        seen.append(int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))), write(self, path, *a, **b))[1])
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    exact = spark.range(200).selectExpr("cast(id AS string) AS id", "id AS level")
+    plan = fit_splits(exact, "id")
+    W.write_splits(exact, exact.limit(5), plan, str(tmp_path / "s"))
+    assert seen[-1] >= 12
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert W.read_splits(spark, str(tmp_path / "s")).count() == 5 * 180 + 20 + 5
