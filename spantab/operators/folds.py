@@ -20,7 +20,7 @@ from spantab.operators.cleaning import _quoted
 from spantab.operators.linear import SQL_SUM_COLUMNS, Moments, _finish, _products, partial_sums, solve, weighted_sum
 from spantab.operators.splits import SplitPlan
 from spantab.operators.trials import FOLD_SCHEMA, evaluate_folds
-from spantab.staging import held
+from spantab.staging import staged
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ def linear_folds(
         bounded.select(*inputs, F.lit(None).cast("double").alias("y"), everywhere.alias("placed"))
     )
     names = [f"x{i}" for i in range(len(features))]
-    with held(rows, [F.col(c) for c in rows.columns]) as data:
+    with staged(rows, "fold-rows") as data:
         train = F.transform(F.filter("placed", lambda s: s["role"] == "train"), lambda s: s["fold"])
         models = fit_folds(data, names, "y", train, n)
         predicted = predict_folds(data, models).select("y", "lower", "upper", "p", F.explode("placed").alias("s"))

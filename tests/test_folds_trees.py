@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import uuid
 
@@ -16,6 +17,7 @@ from spantab.operators.boosted_trees import TreeSettings, fit_trees, predict_tre
 from spantab.operators.quantiles import exact_medians, exact_ranks
 from spantab.operators.splits import fit_splits
 from spantab.operators.trials import fold_experiment
+from spantab.staging import staging_path
 
 
 def jobs(spark, run) -> int:
@@ -212,3 +214,15 @@ def test_trees_read_their_rows_once(spark):
     rows = spark.range(40).select(F.udf(noted, "double")(F.col("id").cast("double")).alias("a"), F.col("id").alias("y"))
     gbt_fit(rows, ["a"], "y", maxDepth=1, maxIter=2)
     assert seen.value == 40
+
+
+def test_rows_of_all_folds_are_files_and_leave_none(spark, fold_rows, monkeypatch):
+    exact, bounded = fold_rows
+    plan, cached, seen = fit_splits(exact, "id", n=3), spark.sparkContext._jsc.getPersistentRDDs, []
+    exact.count(), bounded.count()
+    before, evaluate = len(cached()), FO.evaluate_folds
+    monkeypatch.setattr(FO, "evaluate_folds", lambda rows: (seen.append(len(cached())), evaluate(rows))[1])
+    found = FO.linear_folds(exact, bounded, plan, ["a", "b", "c"]).collect()
+    assert len(found) == 12 and seen == [before]
+    names = os.listdir(os.path.dirname(staging_path(spark, "any").removeprefix("file:")))
+    assert not [n for n in names if n.startswith("fold-rows-")]
